@@ -72,16 +72,35 @@ def plan_quotas(available: dict[str, tuple[int, int]], targets: dict[str, tuple[
     return plan
 
 
+def _fill(placed: DataFrame, plan: dict[str, dict]) -> list[tuple]:
+    """Further records that fit into what the prefix of each source leaves, the largest first.
+
+    From every size class (a quarter of a doubling) the first record in the permuted order is looked at: some eighty a source at most.
+    """
+    spark = placed.sparkSession
+    got = {r["_source"]: r["t"] for r in placed.where("_part").groupBy("_source").agg(F.sum("n_tokens").alias("t")).collect()}
+    left = {s: p["rest"] - got.get(s, 0) for s, p in plan.items()}
+    room = spark.createDataFrame(list(left.items()), "_source string, _left double")
+    fitting = placed.join(F.broadcast(room), "_source").where("not _part and n_tokens <= _left")
+    best = fitting.groupBy("_source", F.floor(F.log2("n_tokens") * 4).alias("class")).agg(F.min(F.struct("_chance", "_key", "n_tokens")).alias("r"))
+    picks = []
+    for r in sorted(best.select("_source", "r.*").collect(), key=lambda r: (r["_source"], -r["n_tokens"])):
+        if r["n_tokens"] <= left[r["_source"]]:
+            left[r["_source"]] -= r["n_tokens"]
+            picks.append((r["_source"], r["_key"], r["_chance"], r["n_tokens"]))
+    return picks
+
+
 def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", total_tokens: int | None = None, shards: int | None = None, seed: int = 17, vocabulary: str = tokens.VOCABULARY, counted: DataFrame | None = None) -> DataFrame:
     """``key, source, copy_no, n_tokens, shard, place``: the rows chosen, a row for each use, in shards of about SHARD_ROWS rows.
 
     Every source of ``targets`` (``source, target_share, max_repeats``: a small table, one row a source) gives its share of all tokens
-    to within half of one record; a record is used ``max_repeats`` times at most. Sources without rows can't give any: the others keep
+    as nearly as its records' sizes let it, and not more; a record is used ``max_repeats`` times at most. Sources without rows can't give any: the others keep
     their proportions. Rows of other or null sources are not used, nor are null or empty texts (they have no tokens). Repeated keys are
     rows of their own. The choice depends on ``seed`` and the keys only.
 
     A source is permuted by a hash and divided into blocks by it; whole copies take all blocks, the last partial copy a prefix
-    found by block totals, so that no task holds a source. Blocks are then dealt to shards by :func:`splitting_tree`.
+    found by block totals, so that no task holds a source, and a few records that fill what the prefix leaves. Blocks are then dealt to shards by :func:`splitting_tree`.
     """
     spark = documents.sparkSession
     counted = count_tokens(documents, key, source, text, vocabulary) if counted is None else counted
@@ -101,8 +120,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", s
     before = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_source", "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_source", "_block").orderBy("_chance", "_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offsets, ["_source", "_block"])
-    copies = F.col("_full") + (F.col("_offset") + F.col("_in") + F.col("n_tokens") / 2 <= F.col("_rest")).cast("int")
+    placed = cut(rows.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offsets, ["_source", "_block"]).withColumn("_part", F.col("_offset") + F.col("_in") + F.col("n_tokens") <= F.col("_rest")))
+    extra = spark.createDataFrame(_fill(placed, plan), placed.select("_source", "_key", "_chance", "n_tokens").schema).withColumn("_extra", F.lit(1))
+    placed = placed.join(F.broadcast(extra), ["_source", "_key", "_chance", "n_tokens"], "left")
+    copies = F.col("_full") + (F.col("_part") | F.col("_extra").isNotNull()).cast("int")
     chosen = placed.withColumn("_copies", copies).where("_copies > 0")
     chosen = cut(chosen.select("_key", "_source", "n_tokens", "_block", "_blocks", "_chance", F.explode(F.sequence(F.lit(1), "_copies")).alias("copy_no")))
     units = {r["_source"]: (r["u"], r["n"]) for r in chosen.groupBy("_source").agg(F.max((F.col("copy_no") - 1) * F.col("_blocks") + F.col("_block") + 1).alias("u"), F.count(F.lit(1)).alias("n")).collect()}
