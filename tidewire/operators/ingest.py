@@ -53,12 +53,12 @@ def local_times(news: DataFrame, sources: DataFrame | None = None, zone: str = L
     sources = spark.createDataFrame([], "source string, tz string, date_order string") if sources is None else sources
     given = news.withColumn("_day", F.col("publish_date") if "publish_date" in news.columns else F.lit(None).cast("string"))
     timed = instants.normalise_instants(given, sources, "publish_time", "_day", "source")
-    local = F.from_utc_timestamp(F.timestamp_seconds("utc_second"), zone)
-    known = F.col("utc_second").isNotNull()
-    utc = lambda pattern: F.date_format(F.to_utc_timestamp(F.from_utc_timestamp(local, F.current_timezone()), F.current_timezone()), pattern)
+    # wall time without a zone: the session's zone plays no part
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, utc_second)"))
+    shown, known = local.cast("string"), F.col("utc_second").isNotNull()
     return (
-        timed.withColumn("publish_time", F.when(known, utc("yyyy-MM-dd HH:mm:ss")).otherwise(F.coalesce("publish_time", F.lit(""))))
-        .withColumn("publish_date", F.when(known, utc("yyyy-MM-dd")).otherwise(F.lit("")))
+        timed.withColumn("publish_time", F.when(known, F.substring(shown, 1, 19)).otherwise(F.coalesce("publish_time", F.lit(""))))
+        .withColumn("publish_date", F.when(known, F.substring(shown, 1, 10)).otherwise(F.lit("")))
         .drop("_day", "utc_second")
     )
 

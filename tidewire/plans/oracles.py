@@ -25,7 +25,12 @@ def _squeeze(x: str) -> str:
 
 
 def _r4(x: str) -> str:
-    return f"round(round({x}, 10), 4)"
+    """Decimal rounding, half away from zero, of ten digits to four; DuckDB's own double rounding isn't decimal."""
+    return f"CAST(round(CAST({x} AS DECIMAL(28, 10)), 4) AS DOUBLE)"
+
+
+def _r8(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(28, 12)), 8) AS DOUBLE)"
 
 
 def _num(x: str, default: str = "0.0") -> str:
@@ -157,7 +162,7 @@ def _ranked(name: str, k: int = 5) -> str:
 
 def _rank_query(name: str) -> str:
     sql, groups, k = _ranked(name)
-    return f"WITH {sql} SELECT publish_date, ts_code, round(base_ranking_score, 8) AS base_ranking_score, round(ranking_score, 8) AS ranking_score, rank_in_date, CAST(rank_in_date <= {k} AS INTEGER) AS selected_topk, {', '.join(f'{g}_group_score' for g in groups)} FROM ranked"
+    return f"WITH {sql} SELECT publish_date, ts_code, {_r8('base_ranking_score')} AS base_ranking_score, {_r8('ranking_score')} AS ranking_score, rank_in_date, CAST(rank_in_date <= {k} AS INTEGER) AS selected_topk, {', '.join(f'{g}_group_score' for g in groups)} FROM ranked"
 
 
 ASOF = "SELECT l.*, q.trade_date AS anchor, q.v.close AS anchor_close, q.v.f1 AS f1, q.v.f3 AS f3, q.v.f5 AS f5 FROM {left} l ASOF LEFT JOIN q ON l.ts_code = q.ts_code AND TRY_CAST(l.publish_date AS DATE) < q.trade_date"
@@ -220,8 +225,20 @@ def _time_series() -> str:
     """
 
 
+def _study() -> str:
+    """Records with their best match (no stock reaches its quota here), without words of single stocks: none of the listed stocks is in the universe."""
+    score = f"CASE WHEN full_name THEN 4.0::DOUBLE WHEN aliases <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + {_weigh('fin', 'low', 1.8, 0.7)} - {_weigh('neg', 'low', 1.6, 0.7)} - CASE WHEN {_squeeze('title')} = '' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END"
+    return f"""
+        {MATCHED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY record_no ORDER BY n * 10 + longest DESC, ts_code) AS r FROM by_stock),
+        subset AS (SELECT record_no, max(ts_code) FILTER (WHERE r = 1) AS primary_ts_code, max(name) FILTER (WHERE r = 1) AS primary_name, string_agg(matched_aliases, '|' ORDER BY r) AS aliases, count(*) AS stocks FROM ranked GROUP BY 1),
+        t AS (SELECT s.*, a.id, a.title, a.publish_date, lower(coalesce(a.title, '')) AS low, {_hits(LOW, W.STUDY_FINANCE)} AS fin, {_hits(LOW, W.STUDY_NEGATIVE)} AS neg,
+            list_contains(string_split(s.aliases, '|'), s.primary_name) OR contains({BOTH}, s.primary_name) AS full_name FROM subset s JOIN news_articles a ON s.record_no = a.record_no),
+        c AS (SELECT *, {_r4(score)} AS study_score FROM t),
+        study AS (SELECT *, ((full_name AND study_score >= 4.5 AND len(fin) > 0) OR (study_score >= 7 AND len(fin) >= 2)) AND NOT (NOT full_name AND aliases <> '' AND study_score < 8.5) AND NOT (len(neg) > 0 AND NOT full_name AND study_score < 9.5) AS study_keep FROM c)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    record = "record_no"
     quarter = f"""
         WITH {UNIVERSE}, art AS (SELECT record_no, {_squeeze('title')} AS t, {_squeeze("substr(coalesce(body, ''), 1, 1600)")} AS b, {_squeeze(EXCERPT)} AS both_squeezed, len({_hits(f'lower({EXCERPT})', W.QUARTER_FINANCE)}) AS fin, len({_hits(f'lower({EXCERPT})', W.QUARTER_NOISE)}) AS noise FROM news_articles),
         f AS (SELECT a.record_no, x.ts_code, x.alias, x.squeezed, {_squeeze('x.name')} AS full_name, contains(a.t, x.squeezed) AS in_title, fin, noise, a.t = '' AS untitled FROM art a JOIN aliases x ON length(x.squeezed) >= 2 AND (contains(a.t, x.squeezed) OR contains(a.b, x.squeezed))),
@@ -263,7 +280,7 @@ def oracle_sql() -> dict[str, str]:
         "ref_d3_first_id": "SELECT record_no FROM news_articles QUALIFY coalesce(id, '') = '' OR row_number() OVER (PARTITION BY id ORDER BY record_no) = 1",
         "ref_d6_repaired_union": f"WITH a AS (SELECT coalesce(ts_code, '') AS ts_code, {_num('confidence')} AS confidence, {_num('coarse_score')} AS coarse_score FROM article_mentions UNION ALL SELECT coalesce(ts_code, ''), 0.0, {_num('close')} FROM market_prices) SELECT ts_code, count(*) AS n, round(sum(confidence), 4) AS confidence, round(sum(coarse_score), 4) AS coarse_score FROM a GROUP BY 1",
         "ref_u1_rule_mentions": _rule_mentions(),
-        "ref_p15_mention_weight": f"WITH {MENTIONS} SELECT news_id, ts_code, round({WEIGHT}, 8) AS weight FROM m",
+        "ref_p15_mention_weight": f"WITH {MENTIONS} SELECT news_id, ts_code, {_r8(WEIGHT)} AS weight FROM m",
         "ref_a2_base_factors": f"WITH {BASE} SELECT * FROM base",
         "ref_a4_dominant_event": f"WITH {USABLE}, {DOMINANT} SELECT * FROM dominant",
         "ref_a5_top_keywords": f"WITH {USABLE}, {KEYWORDS} SELECT * FROM words",
@@ -293,7 +310,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT preset, k, horizon, count(t) AS n_dates, round(avg(t), 10) AS avg_topk_return, round(avg(a), 10) AS avg_universe_return, round(avg(e), 10) AS avg_excess_return, round(avg(s), 10) AS avg_top_bottom_spread, round(avg(CASE WHEN e IS NOT NULL THEN (e > 0)::INT::DOUBLE END), 10) AS hit_rate_vs_universe FROM perf GROUP BY ALL
         """,
         "ref_a17_time_series": f"WITH {_time_series()}, rk AS (SELECT *, {rank('x')} AS rx, {rank('y')} AS ry FROM lng), st AS (SELECT factor, direction, horizon, count(*) AS n_obs, {corr('x', 'y')} AS p, {corr('rx', 'ry')} AS s FROM rk GROUP BY ALL HAVING count(*) >= 5), bk AS ({buckets('lng', 'x', 'y')}) SELECT factor, horizon, n_obs, round(p, 8) AS pearson_corr, round(s, 8) AS spearman_corr, round(top, 8) AS top_bucket_mean_return, round(bottom, 8) AS bottom_bucket_mean_return, round((top - bottom) * direction, 8) AS expected_top_bottom_gap FROM st JOIN bk USING (factor, direction, horizon)",
-        "ref_a18_cross_section": f"WITH {_time_series()}, pr AS (SELECT publish_date, factor, direction, horizon, round((arg_min(x, ts_code) - arg_max(x, ts_code)) * direction, 10) AS dx, round(arg_min(y, ts_code) - arg_max(y, ts_code), 10) AS dy FROM lng GROUP BY ALL HAVING count(DISTINCT ts_code) = 2), rk AS (SELECT *, {rank('dx')} AS rx, {rank('dy')} AS ry FROM pr), st AS (SELECT factor, direction, horizon, count(*) AS n_dates, {corr('dx', 'dy')} AS p, {corr('rx', 'ry')} AS s, avg((sign(dx) = sign(dy))::INT::DOUBLE) AS hit FROM rk GROUP BY ALL HAVING count(*) >= 5), bk AS ({buckets('pr', 'dx', 'dy')}) SELECT factor, horizon, n_dates, round(p, 8) AS spread_corr, round(s, 8) AS spread_rank_corr, round(hit, 8) AS rank_hit_rate, round(top, 8) AS top_bucket_return_spread, round(bottom, 8) AS bottom_bucket_return_spread, round(top - bottom, 8) AS top_bottom_spread_gap FROM st JOIN bk USING (factor, direction, horizon)",
+        "ref_a18_cross_section": f"WITH {_time_series()}, pr AS (SELECT publish_date, factor, direction, horizon, round((arg_min(x, ts_code) - arg_max(x, ts_code)) * direction, 10) AS dx, round(arg_min(y, ts_code) - arg_max(y, ts_code), 10) AS dy FROM lng GROUP BY publish_date, factor, direction, horizon HAVING count(DISTINCT ts_code) = 2), rk AS (SELECT *, {rank('dx')} AS rx, {rank('dy')} AS ry FROM pr), st AS (SELECT factor, direction, horizon, count(*) AS n_dates, {corr('dx', 'dy')} AS p, {corr('rx', 'ry')} AS s, avg((sign(dx) = sign(dy))::INT::DOUBLE) AS hit FROM rk GROUP BY ALL HAVING count(*) >= 5), bk AS ({buckets('pr', 'dx', 'dy')}) SELECT factor, horizon, n_dates, round(p, 8) AS spread_corr, round(s, 8) AS spread_rank_corr, round(hit, 8) AS rank_hit_rate, round(top, 8) AS top_bucket_return_spread, round(bottom, 8) AS bottom_bucket_return_spread, round(top - bottom, 8) AS top_bottom_spread_gap FROM st JOIN bk USING (factor, direction, horizon)",
         "ref_a19_direction": f"WITH {_time_series()}, s AS (SELECT factor, horizon, y, x * direction AS g, abs(x * direction) > 1e-12 AS moved FROM lng), t AS (SELECT factor, horizon, count(*) AS a, count(*) FILTER (WHERE moved) AS n_obs, avg((sign(g) = sign(y))::INT::DOUBLE) FILTER (WHERE moved) AS hit, avg((y > 0)::INT::DOUBLE) FILTER (WHERE moved) AS up, avg((y < 0)::INT::DOUBLE) FILTER (WHERE moved) AS down FROM s GROUP BY ALL) SELECT factor, horizon, n_obs, round(hit, 8) AS raw_direction_hit_rate, round(up, 8) AS market_up_ratio, round(down, 8) AS market_down_ratio, round(greatest(up, down), 8) AS market_majority_hit_rate, round(hit - greatest(up, down), 8) AS excess_hit_rate_vs_market FROM t WHERE a >= 5 AND n_obs >= 5",
+        "ref_s3_lenient_lines": "SELECT feed, file_no, count(*) AS objects FROM raw_records WHERE json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT' GROUP BY ALL",
+        "ref_f10_study_relevance": f"WITH {_study()} SELECT record_no, primary_ts_code, study_score, study_keep, array_to_string(fin, '|') AS study_finance_hits, array_to_string(neg, '|') AS study_negative_hits, full_name::INT AS study_has_full_name, (NOT full_name AND aliases <> '')::INT AS study_alias_only FROM study",
+        "ref_t5_best_per_stock": f"WITH {_study()} SELECT record_no, primary_ts_code, study_score FROM study WHERE study_score >= 4 QUALIFY row_number() OVER (PARTITION BY primary_ts_code ORDER BY study_score DESC, publish_date NULLS FIRST, id NULLS FIRST) <= 20",
+        "ref_t6_daily_topk": f"WITH {_study()}, once AS (SELECT * FROM study WHERE coalesce(publish_date, '') <> '' QUALIFY coalesce(id, '') = '' OR row_number() OVER (PARTITION BY id ORDER BY record_no) = 1) SELECT record_no, publish_date, primary_ts_code, CAST(row_number() OVER d AS INTEGER) AS place_in_day FROM once WINDOW d AS (PARTITION BY publish_date, primary_ts_code ORDER BY study_score DESC, full_name::INT DESC, stocks, greatest(1, len(fin)) DESC, id NULLS FIRST) QUALIFY row_number() OVER d <= 3",
+        "ref_u1_overview": f"WITH ment AS ({_rule_mentions()}), o AS (SELECT record_no, sum(sentiment * relevance) / sum(greatest(relevance, 0.05)) AS o FROM ment GROUP BY 1) SELECT a.record_no, CASE WHEN coalesce(a.title, '') = '' THEN '新闻摘要' ELSE substr(a.title, 1, 80) END AS article_summary, {_r4('greatest(-1.0, least(1.0, coalesce(o.o, 0.0)))')} AS overall_sentiment FROM news_articles a LEFT JOIN o ON a.record_no = o.record_no",
+        "ref_u2_skipped_news": f"WITH {MATCHED} SELECT id AS news_id, publish_time, title, 'no_alias_match' AS reason, CAST(0 AS INTEGER) AS candidate_count FROM news_articles WHERE record_no NOT IN (SELECT record_no FROM by_stock)",
+        "ref_p16_labels": f"WITH {PROFILES}, f AS (SELECT publish_date, ts_code, {', '.join(_num(c) + f' AS {c}' for c in ('attention_factor', 'net_sentiment_factor', 'sentiment_momentum_factor', 'negative_shock_factor', 'risk_ratio'))} FROM p) SELECT publish_date, ts_code, {LABEL} AS label FROM f",
         "ref_p11_clamp": f"WITH {PROFILES} SELECT publish_date, ts_code, {_r4('greatest(0.0, least(1.0, ' + _num('negative_shock_carry') + '))')} AS carry FROM p",
     }

@@ -178,7 +178,7 @@ def ref_a1_merged_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_p15_mention_weight(spark: SparkSession, d: str) -> DataFrame:
-    return _mentions(spark, d).select("news_id", "ts_code", F.round(mentions.mention_weight(), 8).alias("weight"))
+    return _mentions(spark, d).select("news_id", "ts_code", F.round(F.round(mentions.mention_weight(), 12), 8).alias("weight"))
 
 
 def ref_a2_base_factors(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +241,7 @@ def ref_w8_percentile(spark: SparkSession, d: str) -> DataFrame:
 def _ranked(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         ranked = ranking.rank_stocks(_profiles(spark, d), ranking.preset(name), 5)
-        return ranked.select("publish_date", "ts_code", F.round("base_ranking_score", 8).alias("base_ranking_score"), F.round("ranking_score", 8).alias("ranking_score"), "rank_in_date", "selected_topk", *sorted(c for c in ranked.columns if c.endswith("_group_score")))
+        return ranked.select("publish_date", "ts_code", F.round(F.round("base_ranking_score", 12), 8).alias("base_ranking_score"), F.round("ranking_score", 8).alias("ranking_score"), "rank_in_date", "selected_topk", *sorted(c for c in ranked.columns if c.endswith("_group_score")))
 
     return query
 
