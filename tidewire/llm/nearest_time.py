@@ -14,29 +14,25 @@ from tidewire.runtime import cut, shuffle_partitions
 TASK_ROWS = 1_000_000  # rows of one partition of the global sort, about
 
 #: An edge: what a partition tells the others. Entities are compared by their whole text.
-EDGE = "pid int, first_entity string, last_entity string, first_right_entity string, first_right long, first_pick string, last_right_entity string, last_right long, last_pick string, one boolean"
+EDGE = "pid int, first_right_entity string, first_right long, first_pick string, last_right_entity string, last_right long, last_pick string"
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first = last = None  # (entity) of the first and last row
-    left = right = None  # first and last right record: (entity, time, pick)
-    pid = None
+    """The first and the last right record of a partition, as (entity, time, pick)."""
+    pid, first, last = None, None, None
     for b in batches:
         if not b.num_rows:
             continue
-        entity, pid = b.column("_entity"), b.column("_pid")[0].as_py()
-        first, last = entity[0].as_py() if first is None else first, entity[b.num_rows - 1].as_py()
-        at = np.flatnonzero(b.column("_side").to_numpy() == 0)
-        if len(at):
-            a, z = int(at[0]), int(at[-1])
-            row = lambda i: (entity[i].as_py(), b.column("_t")[i].as_py(), b.column("_pick")[i].as_py())
-            left, right = row(a) if left is None else left, row(z)
+        pid = b.column("_pid")[0].as_py()
+        right = np.flatnonzero(b.column("_side").to_numpy() == 0)
+        if len(right):
+            at = [tuple(b.column(c)[int(i)].as_py() for c in ("_entity", "_t", "_pick")) for i in (right[0], right[-1])]
+            first, last = first or at[0], at[1]
     if pid is not None:
-        none = (None, None, None)
-        yield pa.RecordBatch.from_pylist(
-            [dict(zip(["pid", "first_entity", "last_entity", "first_right_entity", "first_right", "first_pick", "last_right_entity", "last_right", "last_pick", "one"], [pid, first, last, *(left or none), *(right or none), first == last]))],
-            schema=pa.schema([("pid", pa.int32()), ("first_entity", pa.string()), ("last_entity", pa.string()), ("first_right_entity", pa.string()), ("first_right", pa.int64()), ("first_pick", pa.string()), ("last_right_entity", pa.string()), ("last_right", pa.int64()), ("last_pick", pa.string()), ("one", pa.bool_())]),
-        )
+        values = [pid, *(first or (None, None, None)), *(last or (None, None, None))]
+        kinds = [pa.int32(), *[pa.string(), pa.int64(), pa.string()] * 2]
+        names = ["pid", "first_right_entity", "first_right", "first_pick", "last_right_entity", "last_right", "last_pick"]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
 
 def prefix_scan(items: list, combine) -> list:
@@ -141,5 +137,5 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, left_time: C
     matched = placed.mapInArrow(lambda it: _scan(it, edge, tolerance, ["_row"]), f"_row {row_type}, _right_t long, _right_pick string")
     extra = [F.from_json("_right_pick", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in right.select(*right_keep).schema.fields)).alias("matched")] if right_keep else []
     result = matched.select(*[F.col("_row").getField(c).alias(c) for c in keep], F.col("_right_t").alias("matched_time"), *extra)
-    lost = lefts.where(~known | known.isNull()).select(*[F.col("_row").getField(c).alias(c) for c in keep], F.lit(None).cast("long").alias("matched_time"), *[F.lit(None).cast(result.schema["matched"].dataType).alias("matched")] * bool(right_keep))
+    lost = lefts.where(~known | known.isNull()).select(*[F.col("_row").getField(c).alias(c) for c in keep], F.lit(None).cast("long").alias("matched_time"), *([F.lit(None).cast(result.schema["matched"].dataType).alias("matched")] if right_keep else []))
     return result.unionByName(lost)
