@@ -216,7 +216,7 @@ def normalise_instants(records: DataFrame, sources: DataFrame, when: str = "publ
     blank = r"^[\s\p{Z}\x{200b}\x{feff}]*$"
     raw = F.when(F.col(when).rlike(blank), F.lit(None)).otherwise(F.col(when))
     # a mere time of day has at most 16 characters and no date before it; anything else needs no day of its own
-    needs_day = F.col("when_text").isNull() | F.col("when_text").rlike(r"^[\s\p{Z}]*(\p{IsHan}{2})?\s?[0-9０-９]{1,2}[:：时点]")
+    needs_day = F.col("when_text").isNull() | F.col("when_text").rlike(r"^[\s\p{Z}\x{200b}\x{feff}]*(\p{IsHan}{2})?\s?[0-9０-９]{1,2}[:：时点]")
     keyed = (
         records.drop("utc_second")
         .join(zones, records[source] == zones["_src"], "left")

@@ -37,8 +37,8 @@ def average_rank(rows: DataFrame, group: list[str], column: str, out: str) -> Da
 
 
 def safe_corr(a: str, b: str) -> Column:
-    """Pearson; null when a side has fewer than two values."""
-    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b))
+    """Pearson; null when a side has fewer than two values (the built-in ``corr`` divides by zero there)."""
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def _buckets(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
