@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,17 +40,16 @@ def words(values: list[str]) -> Column:
 
 
 def hits(x: Column, values: list[str]) -> Column:
-    """The words that occur in a text whatever their case, in the list's order."""
-    x = F.lower(x)
-    return F.filter(words(values), lambda w: F.contains(x, F.lower(w)))
+    """The words that occur in a lower-case text, whatever their own case, in the list's order. Plain tests, which are compiled, not a lambda."""
+    return F.array_compact(F.array(*[F.when(F.contains(x, F.lit(v.lower())), F.lit(v)) for v in values]))
 
 
 def hits_exact(x: Column, values: list[str]) -> Column:
-    return F.filter(words(values), lambda w: F.contains(x, w))
+    return F.array_compact(F.array(*[F.when(F.contains(x, F.lit(v)), F.lit(v)) for v in values]))
 
 
 def any_of(x: Column, values: list[str]) -> Column:
-    return F.exists(words(values), lambda w: F.contains(x, w))
+    return reduce(lambda a, b: a | b, [F.contains(x, F.lit(v)) for v in values])
 
 
 def unique_texts(x: Column) -> Column:
@@ -83,6 +84,6 @@ def number(x: Column | str, default: float = 0.0) -> Column:
     return F.coalesce(F.when(F.isnan(x), None).otherwise(x), F.lit(default))
 
 
-def count_weighted(found: Column, title: Column, in_title: float, elsewhere: float) -> Column:
-    """Sum over hit words: one weight for those in the (lower-case) title, another for the rest."""
-    return F.aggregate(found, F.lit(0.0), lambda a, w: a + F.when(F.contains(title, F.lower(w)), F.lit(in_title)).otherwise(F.lit(elsewhere)))
+def count_weighted(found: Column, found_in_title: Column, in_title: float, elsewhere: float) -> Column:
+    """Sum over the words hit: one weight for those in the title, another for the rest."""
+    return F.size(found_in_title) * in_title + (F.size(found) - F.size(found_in_title)) * elsewhere

@@ -94,7 +94,8 @@ def quarter_match(news: DataFrame, universe: DataFrame, key: str = "record_no",
     cut = news.withColumn("body", F.substring(F.coalesce("body", F.lit("")), 1, body_limit))
     found = alias_hits(cut, key, title_and_body(), universe)
     names = universe.select("ts_code", F.col("name").alias("stock_name"), "industry", squeeze("name").alias("_full")).dropDuplicates(["ts_code"])
-    texts = cut.select(F.col(key).alias("_key"), squeeze("title").alias("_title"), squeeze("body").alias("_body"), hits(title_and_body(), W.QUARTER_FINANCE).alias("_fin"), hits(title_and_body(), W.QUARTER_NOISE).alias("_noise"), (F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)\s+", "") == "").alias("_untitled"))
+    lower = cut.withColumn("_low", F.lower(title_and_body()))
+    texts = lower.select(F.col(key).alias("_key"), squeeze("title").alias("_title"), squeeze("body").alias("_body"), hits(F.col("_low"), W.QUARTER_FINANCE).alias("_fin"), hits(F.col("_low"), W.QUARTER_NOISE).alias("_noise"), (F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)\s+", "") == "").alias("_untitled"))
     placed = found.join(texts, "_key").withColumn("_in_title", F.contains("_title", F.col("squeezed"))).where(F.col("_in_title") | F.contains("_body", F.col("squeezed")))
     ambiguous = F.col("alias").isin(W.AMBIGUOUS)
     grouped = placed.join(names, "ts_code").groupBy("_key", "ts_code", "stock_name", "industry").agg(

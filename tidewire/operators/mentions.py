@@ -37,22 +37,13 @@ def event_type(content: Column) -> Column:
     return out
 
 
-def trend_signal(content: Column, sentiment: Column) -> Column:
-    up, down = any_of(content, W.TREND_UP), any_of(content, W.TREND_DOWN)
-    return (
-        F.when(up, F.when(sentiment >= -0.05, "上升").otherwise(MIXED_TREND))
-        .when(down, F.when(sentiment <= 0.05, "下降").otherwise(MIXED_TREND))
-        .when(sentiment > 0.15, "上升").when(sentiment < -0.15, "下降").otherwise(MIXED_TREND)
-    )
-
-
 def rule_mentions(news: DataFrame, candidates: DataFrame, key: str = "record_no", body_limit: int = 1600) -> DataFrame:
     """One mention for each candidate stock of an article, by word lists alone; columns only, no Python.
 
     ``candidates`` is the result of :func:`coarse_match`. All word hits are of the article, so its stocks differ by their aliases.
     """
-    content = title_and_body(limit=body_limit)
-    article = news.select(F.col(key), F.coalesce("title", F.lit("")).alias("_title"), hits_exact(content, W.POSITIVE).alias("_up"), hits_exact(content, W.NEGATIVE).alias("_down"), hits_exact(content, W.RISK).alias("_risk"), event_type(content).alias("event_type"), any_of(content, W.TREND_UP).alias("_rises"), any_of(content, W.TREND_DOWN).alias("_falls"))
+    content = F.col("_content")
+    article = news.withColumn("_content", title_and_body(limit=body_limit)).select(F.col(key), F.coalesce("title", F.lit("")).alias("_title"), hits_exact(content, W.POSITIVE).alias("_up"), hits_exact(content, W.NEGATIVE).alias("_down"), hits_exact(content, W.RISK).alias("_risk"), event_type(content).alias("event_type"), any_of(content, W.TREND_UP).alias("_rises"), any_of(content, W.TREND_DOWN).alias("_falls"))
     rows = candidates.join(article, key)
     moved = (F.size("_up") + F.size("_down") > 0).cast("int")
     named = F.exists("matched_aliases", lambda a: F.contains(F.col("_title"), a))

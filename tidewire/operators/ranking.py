@@ -101,20 +101,17 @@ def percentile(frame: DataFrame, columns: dict[str, Column], partition: str = "p
 
 
 def percentile_by_window(frame: DataFrame, columns: dict[str, Column], partition: str = "publish_date", suffix: str = "__signal") -> DataFrame:
-    """The same for many columns at once, where a partition's rows are known to fit one task: one shuffle, a sort a column."""
-    for name, value in columns.items():
-        v = f"_v_{name}"
-        clean = value.try_cast("double")
-        frame = frame.withColumn(v, F.round(F.when(~F.isnan(clean), clean), 12))
+    """The same for many columns at once, where a partition's rows (a cross-section of the universe) fit one task: one shuffle, a sort a column."""
+    values = {f"_v_{name}": value.try_cast("double") for name, value in columns.items()}
+    frame = frame.withColumns({v: F.round(F.when(~F.isnan(x), x), 12) for v, x in values.items()})
+    frame = frame.withColumns({f"_n_{name}": F.count(f"_v_{name}").over(Window.partitionBy(partition)) for name in columns})
     out = []
     for name in columns:
-        v = f"_v_{name}"
-        n = F.count(v).over(Window.partitionBy(partition))
-        low, high = F.min(v).over(Window.partitionBy(partition)), F.max(v).over(Window.partitionBy(partition))
-        rank = F.rank().over(Window.partitionBy(partition).orderBy(F.col(v).asc_nulls_last()))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(partition, v))
-        out.append(F.when(F.col(v).isNull(), None).when(low == high, 0.5).otherwise((rank + (ties - 1) / 2) / n).alias(f"{name}{suffix}"))
-    return frame.select("*", *out).drop(*[f"_v_{name}" for name in columns])
+        v, n = F.col(f"_v_{name}"), F.col(f"_n_{name}")
+        order = Window.partitionBy(partition).orderBy(v.asc_nulls_last())
+        ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # in the sort that the rank needs anyway
+        out.append(F.when(v.isNull(), None).when(ties == n, 0.5).otherwise((F.rank().over(order) + (ties - 1) / 2) / n).alias(f"{name}{suffix}"))
+    return frame.select("*", *out).drop(*values, *[f"_n_{name}" for name in columns])
 
 
 def score(frame: DataFrame, factors: list[Factor], suffix: str = "__signal", group: str | None = None) -> Column:

@@ -36,57 +36,63 @@ def date_range(news: DataFrame, start: str | None = None, end: str | None = None
     return news.where(inside)
 
 
-def _lower_title(title: str = "title") -> Column:
-    return F.lower(F.coalesce(F.col(title), F.lit("")))
+def _with_hits(news: DataFrame, lists: dict[str, list[str]]) -> DataFrame:
+    """The lower-case text and title once, then for each list the words hit (``_<name>``) and those in the title (``_<name>_t``)."""
+    rows = news.withColumns({"_both": F.lower(title_and_body()), "_low": F.lower(F.coalesce("title", F.lit("")))})
+    found = {f"_{n}": hits(F.col("_both"), v) for n, v in lists.items()} | {f"_{n}_t": hits(F.col("_low"), v) for n, v in lists.items()}
+    return rows.withColumns(found)
+
+
+def _without_hits(rows: DataFrame, lists: dict[str, list[str]], *more: str) -> DataFrame:
+    return rows.drop("_both", "_low", *more, *[f"_{n}{t}" for n in lists for t in ("", "_t")])
+
+
+def _points(weights: list[tuple[str, float, float]]) -> Column:
+    return sum((count_weighted(F.col(f"_{n}"), F.col(f"_{n}_t"), a, b) for n, a, b in weights), F.lit(0.0))
 
 
 def broad_relevance(news: DataFrame) -> DataFrame:
     """Adds ``filter_score``, ``filter_keep`` and the hit words of each list joined with bars."""
-    both, title = F.lower(title_and_body()), _lower_title()
-    rows = news.withColumns({"_strong": hits(both, W.STRONG), "_weak": hits(both, W.WEAK), "_out": hits(both, W.EXCLUDE)})
-    score = count_weighted(F.col("_strong"), title, 3.0, 2.0) + count_weighted(F.col("_weak"), title, 1.5, 1.0) - count_weighted(F.col("_out"), title, 3.0, 2.0)
-    rows = rows.withColumn("filter_score", r4(score))
+    lists = {"strong": W.STRONG, "weak": W.WEAK, "out": W.EXCLUDE}
+    rows = _with_hits(news, lists).withColumn("filter_score", r4(_points([("strong", 3.0, 2.0), ("weak", 1.5, 1.0), ("out", -3.0, -2.0)])))
     strong = F.size("_strong") > 0
     wanted = strong | (F.size("_weak") >= 2) | (F.col("filter_score") >= 3.0)
     vetoed = (F.size("_out") > 0) & ~strong & (F.col("filter_score") < 4.0)
-    return rows.withColumn("filter_keep", wanted & ~vetoed).withColumns({"strong_hits": join_bar(F.col("_strong")), "weak_hits": join_bar(F.col("_weak")), "exclude_hits": join_bar(F.col("_out"))}).drop("_strong", "_weak", "_out")
+    rows = rows.withColumns({"filter_keep": wanted & ~vetoed, "strong_hits": join_bar(F.col("_strong")), "weak_hits": join_bar(F.col("_weak")), "exclude_hits": join_bar(F.col("_out"))})
+    return _without_hits(rows, lists)
 
 
 def strict_relevance(news: DataFrame) -> DataFrame:
     """The stricter decision: company words count, a second list of exclusions vetoes."""
-    both, title = F.lower(title_and_body()), _lower_title()
-    rows = news.withColumns({"_strong": hits(both, W.STRONG), "_weak": hits(both, W.WEAK), "_firm": hits(both, W.COMPANY), "_out": hits(both, W.EXCLUDE), "_never": hits(both, W.STRICT_EXCLUDE)})
-    weights = [("_strong", 3.5, 2.5, 1), ("_weak", 1.2, 0.8, 1), ("_firm", 0.8, 0.4, 1), ("_out", 3.0, 2.0, -1), ("_never", 2.5, 1.5, -1)]
-    rows = rows.withColumn("filter_score", r4(sum((count_weighted(F.col(c), title, a, b) * s for c, a, b, s in weights), F.lit(0.0))))
+    lists = {"strong": W.STRONG, "weak": W.WEAK, "firm": W.COMPANY, "out": W.EXCLUDE, "never": W.STRICT_EXCLUDE}
+    rows = _with_hits(news, lists).withColumn("filter_score", r4(_points([("strong", 3.5, 2.5), ("weak", 1.2, 0.8), ("firm", 0.8, 0.4), ("out", -3.0, -2.0), ("never", -2.5, -1.5)])))
     score, strong = F.col("filter_score"), F.size("_strong") > 0
     wanted = (strong & (score >= 3.0)) | ((F.size("_firm") > 0) & (F.size("_weak") >= 2) & (score >= 3.5)) | (score >= 5.0)
     vetoed = (F.size("_never") > 0) & ~strong & (score < 6.0)
-    joined = {"strong_hits": join_bar(F.col("_strong")), "weak_hits": join_bar(F.concat("_weak", "_firm")), "exclude_hits": join_bar(F.concat("_out", "_never"))}
-    return rows.withColumn("filter_keep", wanted & ~vetoed).withColumns(joined).drop("_strong", "_weak", "_firm", "_out", "_never")
+    rows = rows.withColumns({"filter_keep": wanted & ~vetoed, "strong_hits": join_bar(F.col("_strong")), "weak_hits": join_bar(F.concat("_weak", "_firm")), "exclude_hits": join_bar(F.concat("_out", "_never"))})
+    return _without_hits(rows, lists)
 
 
 def study_relevance(records: DataFrame, positive: dict[str, list[str]] | None = None, negative: dict[str, list[str]] | None = None) -> DataFrame:
     """Adds ``study_score``, ``study_keep``, hit words and the name flags to records with ``primary_stock_name`` and ``matched_aliases``."""
     positive = W.STUDY_POSITIVE_BY_STOCK if positive is None else positive
     negative = W.STUDY_NEGATIVE_BY_STOCK if negative is None else negative
-    raw, both, title = title_and_body(), F.lower(title_and_body()), _lower_title()
     name = F.coalesce("primary_stock_name", F.lit(""))
+    lists = {"fin": W.STUDY_FINANCE, "neg": W.STUDY_NEGATIVE}
 
-    def own(lists: dict[str, list[str]]) -> Column:
+    def own(listed: dict[str, list[str]], x: str) -> Column:
         found = F.array().cast("array<string>")
-        for stock, listed in lists.items():
-            found = F.when(name == stock, hits(both, listed)).otherwise(found)
+        for stock, words in listed.items():
+            found = F.when(name == stock, hits(F.col(x), words)).otherwise(found)
         return found
 
-    rows = records.withColumns({"_fin": hits(both, W.STUDY_FINANCE), "_neg": hits(both, W.STUDY_NEGATIVE), "_own": own(positive), "_bad": own(negative), "_aliases": split_bar("matched_aliases")})
-    rows = rows.withColumn("_full", F.array_contains("_aliases", name) | F.contains(raw, name)).withColumn("_only", (F.size("_aliases") > 0) & ~F.col("_full"))
-    score = F.when(F.col("_full"), 4.0).when(F.col("_only"), 1.0).otherwise(0.0)
-    for c, a, b, s in (("_fin", 1.8, 0.7, 1), ("_own", 1.6, 0.6, 1), ("_neg", 1.6, 0.7, -1), ("_bad", 2.0, 1.0, -1)):
-        score = score + count_weighted(F.col(c), title, a, b) * s
-    score = score - F.when(F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)\s+", "") == "", 0.5).otherwise(0.0)
+    rows = _with_hits(records, lists).withColumns({"_own": own(positive, "_both"), "_own_t": own(positive, "_low"), "_bad": own(negative, "_both"), "_bad_t": own(negative, "_low"), "_aliases": split_bar("matched_aliases")})
+    rows = rows.withColumn("_full", F.array_contains("_aliases", name) | F.contains(title_and_body(), name)).withColumn("_only", (F.size("_aliases") > 0) & ~F.col("_full"))
+    untitled = F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)\s+", "") == ""
+    score = F.when(F.col("_full"), 4.0).when(F.col("_only"), 1.0).otherwise(0.0) + _points([("fin", 1.8, 0.7), ("own", 1.6, 0.6), ("neg", -1.6, -0.7), ("bad", -2.0, -1.0)]) - F.when(untitled, 0.5).otherwise(0.0)
     rows = rows.withColumn("study_score", r4(score))
     s, full, only = F.col("study_score"), F.col("_full"), F.col("_only")
     wanted = (full & (s >= 4.5) & ((F.size("_fin") > 0) | (F.size("_own") >= 2))) | ((s >= 7.0) & ((F.size("_fin") >= 2) | (F.size("_own") >= 3)))
     keep = wanted & ~(only & (s < 8.5)) & ~((F.size("_neg") > 0) & ~full & (s < 9.5))
     out = {"study_keep": keep, "study_finance_hits": join_bar(F.col("_fin")), "study_stock_hits": join_bar(F.col("_own")), "study_negative_hits": join_bar(F.concat("_neg", "_bad")), "study_has_full_name": full.cast("int"), "study_alias_only": only.cast("int")}
-    return rows.withColumns(out).drop("_fin", "_neg", "_own", "_bad", "_aliases", "_full", "_only")
+    return _without_hits(rows.withColumns(out), lists, "_own", "_own_t", "_bad", "_bad_t", "_aliases", "_full", "_only")

@@ -32,9 +32,9 @@ def asof_forward(left: DataFrame, prices: DataFrame, date: str = "publish_date")
     quote = F.struct(F.col("trade_date").alias("d"), *[F.col(c) for c in taken])
     rights = prices.select("ts_code", F.col("trade_date").alias("_d"), F.lit(0).alias("_side"), quote.alias("_q"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType).alias("_row"))
     lefts = left.select("ts_code", F.expr(f"try_cast({date} as date)").alias("_d"), F.lit(1).alias("_side"), F.lit(None).cast(rights.schema["_q"].dataType).alias("_q"), F.struct(*left.columns).alias("_row"))
-    # price rows stand before the query rows of their day, so a later row is a later day
-    order = Window.partitionBy("ts_code").orderBy(F.col("_d").asc_nulls_last(), "_side").rowsBetween(1, Window.unboundedFollowing)
-    both = lefts.unionByName(rights).withColumn("_next", F.when(F.col("_d").isNotNull(), F.first("_q", ignorenulls=True).over(order))).where("_side = 1")
+    # backwards in time a running frame holds what is later; price rows stand after the query rows of their own day
+    order = Window.partitionBy("ts_code").orderBy(F.col("_d").desc_nulls_first(), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
+    both = lefts.unionByName(rights).withColumn("_next", F.when(F.col("_d").isNotNull(), F.last("_q", ignorenulls=True).over(order))).where("_side = 1")
     name = {"close": "anchor_close"} | {c: c if c.startswith("fwd_return_") and c not in left.columns else f"price_{c}" for c in taken if c != "close"}
     return both.select("_row.*", F.col("_next.d").alias("anchor_trade_date"), *[F.col(f"_next.{c}").alias(name[c]) for c in taken])
 

@@ -15,7 +15,7 @@ from tidewire.sources.files import universe
 
 
 def _news(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "news_articles")
+    return read_table(spark, d, "news_articles", spread=True)
 
 
 def _universe(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _universe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.distinct_mentions(read_table(spark, d, "article_mentions"))
+    return profiles.distinct_mentions(read_table(spark, d, "article_mentions", spread=True))
 
 
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def ref_s3_lenient_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_p10_hits(spark: SparkSession, d: str) -> DataFrame:
-    return _news(spark, d).select("record_no", join_bar(hits(title_and_body(), W.STRONG)).alias("hits"))
+    return _news(spark, d).select("record_no", join_bar(hits(F.lower(title_and_body()), W.STRONG)).alias("hits"))
 
 
 def ref_f1_language(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +200,7 @@ def ref_w1_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_a2_daily_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.daily_profiles(_mentions(spark, d), _universe(spark, d))
+    return profiles.daily_profiles(cut(_mentions(spark, d)), _universe(spark, d))
 
 
 def ref_p20_diversity_score(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +208,7 @@ def ref_p20_diversity_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_p21_enhanced_demo(spark: SparkSession, d: str) -> DataFrame:
-    rows = _mentions(spark, d)
+    rows = cut(_mentions(spark, d))
     return profiles.enhanced_demo(profiles.base_factors(rows), rows)
 
 
