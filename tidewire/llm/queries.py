@@ -51,41 +51,41 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    links, members = near_text.similar_pairs(read_table(spark, folder, "news_articles"), "record_no", ["title", "body"])
+    links, members = near_text.similar_pairs(read_table(spark, folder, "news_articles", spread=True), "record_no", ["title", "body"])
     return near_text.all_pairs(cut(links), members)
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
-    links, members = near_text.similar_pairs(read_table(spark, folder, "news_articles"), "record_no", ["title", "body"])
+    links, members = near_text.similar_pairs(read_table(spark, folder, "news_articles", spread=True), "record_no", ["title", "body"])
     return near_text.components(cut(links), members).select(F.col("_key").alias("record_no"), "group_id")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = leaks.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+    found = leaks.find_leaks(read_table(spark, folder, "documents", spread=True), read_table(spark, folder, "eval_items"))
     return found.select("doc_id", "item_id")
 
 
 def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
-    found = leaks.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+    found = leaks.find_leaks(read_table(spark, folder, "documents", spread=True), read_table(spark, folder, "eval_items"))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("longest").alias("longest"), F.max("item_share").alias("most_of_item"))
 
 
 def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.remove_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+    return leaks.remove_leaks(read_table(spark, folder, "documents", spread=True), read_table(spark, folder, "eval_items"))
 
 
 def p9_mixed(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_sources(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))
+    return mixing.mix_sources(read_table(spark, folder, "documents", spread=True), read_table(spark, folder, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    documents, targets = read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets")
+    documents, targets = read_table(spark, folder, "documents", spread=True), read_table(spark, folder, "mix_targets")
     counted = mixing.count_tokens(documents, "doc_id", "source", "text")
     return mixing.reached_shares(mixing.mix_sources(documents, targets, counted=counted), targets, counted)
 
 
 def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.split_oversized(read_table(spark, folder, "documents"))
+    return pieces.split_oversized(read_table(spark, folder, "documents", spread=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
