@@ -1,4 +1,4 @@
-"""The reference's own expectations, and hand-made cases for what it does not test."""
+"""Known expectations of the factor and ranking model, and hand-made cases for the rest."""
 
 import pytest
 from pyspark.sql import functions as F
