@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 FAN = 16  # children of a node
-FRONTIER = 2_000_000  # (query, node) pairs looked at together
+FRONTIER = 500_000  # (query, node) pairs looked at together
 
 
 def gray_rank(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,20 +62,24 @@ class GrayForest:
 
     def self_pairs(self, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pairs of rows of one key at most ``limit`` bits apart: places (smaller first) and distances."""
-        found: list[tuple] = []
-        n = len(self.key)
-        if not n:
+        found = list(self.pairs_in_turn(limit))
+        if not found:
             return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+    def pairs_in_turn(self, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same, some queries at a time, so that the pairs of large groups need not be held together."""
+        if not len(self.key):
+            return
         root_of = np.cumsum(np.r_[True, self.key[1:] != self.key[:-1]]) - 1
         size = np.bincount(root_of)[root_of]
         queries = np.flatnonzero(size > 1)
         step = max(1, FRONTIER // (FAN * 8))
         for at in range(0, len(queries), step):
+            found: list[tuple] = []
             q = queries[at : at + step]
             self._descend(q, root_of[q], limit, found)
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+            yield from found
 
     def _descend(self, query: np.ndarray, node: np.ndarray, limit: int, found: list) -> None:
         top = len(self.levels) - 1
