@@ -99,7 +99,7 @@ def ref_f8_strict_relevance(spark: SparkSession, d: str) -> DataFrame:
 
 def _subset(spark: SparkSession, d: str) -> DataFrame:
     news = _news(spark, d)
-    return selection.experiment_subset(news, matching.record_match(news, _universe(spark, d)), "record_no", ["record_no"], 500, 0)
+    return selection.experiment_subset(news, matching.record_match(news, _universe(spark, d)), "record_no", ["record_no"], 0, 0)
 
 
 def ref_f10_study_relevance(spark: SparkSession, d: str) -> DataFrame:
