@@ -1,4 +1,4 @@
-"""Fingerprints in Gray order under a hierarchy of shared bit patterns, searched by accumulated differences."""
+"""Codes in Gray order under a hierarchy of shared bit patterns, searched by accumulated differences."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 
 FAN = 16  # children of a node
-FRONTIER = 500_000  # (query, node) pairs looked at together
+FRONTIER = 1_000_000  # pairs of nodes looked at together
+BLOCKS = 8_000  # pairs of leaf blocks compared together
 
 
 def gray_rank(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -20,8 +21,10 @@ def gray_rank(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return high, low
 
 
-def gray_order(key: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Rows by key, then by Gray rank."""
+def gray_order(key: np.ndarray, high: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+    """Rows by key, then by Gray rank; without ``low`` codes are single words."""
+    if low is None:
+        return np.lexsort((gray_rank(high, np.zeros_like(high))[0], key))
     top, rest = gray_rank(high, low)
     return np.lexsort((rest, top, key))
 
@@ -29,36 +32,29 @@ def gray_order(key: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray
 class GrayForest:
     """One tree for each key over codes that are sorted by :func:`gray_order`.
 
-    A node covers up to FAN neighbours of one key. ``same`` marks the bits on which all codes below agree and that no node above
-    has settled yet, ``bits`` their values. A query adds up its differences on the settled bits on the way down and leaves a node,
-    with everything below it, as soon as they exceed the limit.
+    A node covers up to FAN neighbours of one key. ``same`` marks the bits on which all codes below agree, ``bits`` their values. The
+    search goes down with pairs of nodes: their differences on the bits that both have settled are a lower bound for every pair of codes below, and
+    grow as more bits settle; beyond the limit both groups part, with everything below. Codes are compared one by one in pairs of lowest nodes only.
     """
 
-    def __init__(self, key: np.ndarray, high: np.ndarray, low: np.ndarray):
-        n = len(key)
-        self.codes = np.stack([high, low], axis=1)
+    def __init__(self, key: np.ndarray, high: np.ndarray, low: np.ndarray | None = None):
         self.key = key
+        self.codes = high[:, None] if low is None else np.stack([high, low], axis=1)
         every = np.uint64(0xFFFFFFFFFFFFFFFF)
-        same, bits, keys = np.full((n, 2), every), self.codes, key
-        self.levels: list[tuple] = []  # from the leaves up: full masks, values, first child, one past the last
-        first = np.arange(n)
-        self.levels.append((same, bits, first, first + 1))
-        while True:
+        same, bits, keys = np.full(self.codes.shape, every), self.codes, key
+        self.levels: list[tuple] = []  # from the lowest nodes up: mask of settled bits, their values, first child, one past the last
+        while len(keys):
             m = len(keys)
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if m else np.zeros(0, int)
-            if len(starts) == m and len(self.levels) > 1:
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            if len(starts) == m and self.levels:
                 break
             place = np.arange(m) - np.repeat(starts, np.diff(np.r_[starts, m]))
             begin = np.flatnonzero(place % FAN == 0)
-            ones = np.bitwise_and.reduceat(np.where(same, bits & same, 0), begin, axis=0) if m else bits
-            agree = np.bitwise_and.reduceat(same, begin, axis=0) if m else same
-            zeros = np.bitwise_and.reduceat(same & ~bits, begin, axis=0) if m else bits
-            up = agree & (ones | zeros)
-            self.levels.append((up, ones & up, begin, np.r_[begin[1:], m]))
-            same, bits, keys = up, ones & up, keys[begin]
-            if not m:
-                break
-        self.roots = keys
+            ones = np.bitwise_and.reduceat(bits & same, begin, axis=0)
+            zeros = np.bitwise_and.reduceat(same & ~bits, begin, axis=0)
+            same, bits = ones | zeros, ones
+            self.levels.append((same, bits, begin, np.r_[begin[1:], m]))
+            keys = keys[begin]
 
     def self_pairs(self, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pairs of rows of one key at most ``limit`` bits apart: places (smaller first) and distances."""
@@ -68,54 +64,51 @@ class GrayForest:
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
     def pairs_in_turn(self, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The same, some queries at a time, so that the pairs of large groups need not be held together."""
-        if not len(self.key):
+        """The same, some blocks at a time, so that the pairs of large groups need not be held together."""
+        if not self.levels:
             return
-        root_of = np.cumsum(np.r_[True, self.key[1:] != self.key[:-1]]) - 1
-        size = np.bincount(root_of)[root_of]
-        queries = np.flatnonzero(size > 1)
-        step = max(1, FRONTIER // (FAN * 8))
-        for at in range(0, len(queries), step):
-            found: list[tuple] = []
-            q = queries[at : at + step]
-            self._descend(q, root_of[q], limit, found)
-            yield from found
-
-    def _descend(self, query: np.ndarray, node: np.ndarray, limit: int, found: list) -> None:
         top = len(self.levels) - 1
-        todo = [(top, query, node, self._differences(query, node, top, None))]
+        size = self.levels[top][3] - self.levels[top][2]
+        roots = np.arange(len(size))
+        roots = roots[size > 1] if top == 0 else roots
+        todo = [(top, roots[at : at + FRONTIER], roots[at : at + FRONTIER]) for at in range(0, len(roots), FRONTIER)]
         while todo:
-            level, q, nodes, acc = todo.pop()
-            near = acc <= limit
-            q, nodes, acc = q[near], nodes[near], acc[near]
+            level, a, b = todo.pop()
             if level == 0:
-                later = nodes > q
-                found.append((q[later], nodes[later], acc[later]))
+                for at in range(0, len(a), BLOCKS):
+                    yield self._compare(a[at : at + BLOCKS], b[at : at + BLOCKS], limit)
                 continue
             _, _, begin, end = self.levels[level]
-            count = end[nodes] - begin[nodes]
-            cuts = np.flatnonzero(np.diff(np.cumsum(count) // FRONTIER)) + 1
-            for part in np.split(np.arange(len(q)), cuts):
+            wide, high = end[a] - begin[a], end[b] - begin[b]
+            count = wide * high
+            for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(count) // FRONTIER)) + 1):
                 c = count[part]
                 total = int(c.sum())
                 if not total:
                     continue
-                child = np.repeat(begin[nodes[part]], c) + np.arange(total) - np.repeat(np.r_[0, c.cumsum()[:-1]], c)
-                qq, parent, a = np.repeat(q[part], c), np.repeat(nodes[part], c), np.repeat(acc[part], c)
-                keep = self._last(level - 1)[child] > qq  # only later rows: each pair once
-                qq, child, parent, a = qq[keep], child[keep], parent[keep], a[keep]
-                todo.append((level - 1, qq, child, a + self._differences(qq, child, level - 1, parent)))
-
-    def _last(self, level: int) -> np.ndarray:
-        """The last row below each node of a level."""
-        if not hasattr(self, "_lasts"):
-            self._lasts = [np.arange(len(self.key))]
-            for _, _, _, end in self.levels[1:]:
-                self._lasts.append(self._lasts[-1][end - 1])
-        return self._lasts[level]
-
-    def _differences(self, query: np.ndarray, node: np.ndarray, level: int, parent: np.ndarray | None) -> np.ndarray:
-        same, bits = self.levels[level][0][node], self.levels[level][1][node]
-        if parent is not None:
-            same = same & ~self.levels[level + 1][0][parent]  # what the nodes above have settled was counted there
-        return np.bitwise_count((self.codes[query] ^ bits) & same).sum(axis=1, dtype=np.int64)
+                nth = np.arange(total) - np.repeat(np.r_[0, c.cumsum()[:-1]], c)
+                h = np.repeat(high[part], c)
+                x, y = np.repeat(begin[a[part]], c) + nth // h, np.repeat(begin[b[part]], c) + nth % h
+                keep = x <= y
+                x, y = x[keep], y[keep]
+                near = self._differences(x, y, level - 1) <= limit
+                todo.append((level - 1, x[near], y[near]))
+
+    def _differences(self, x: np.ndarray, y: np.ndarray, level: int) -> np.ndarray:
+        same, bits = self.levels[level][0], self.levels[level][1]
+        return np.bitwise_count((bits[x] ^ bits[y]) & same[x] & same[y]).sum(axis=1, dtype=np.int64)
+
+    def _compare(self, a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        _, _, begin, end = self.levels[0]
+        wide = int(max((end[a] - begin[a]).max(initial=1), (end[b] - begin[b]).max(initial=1)))
+        step = np.arange(wide)
+        p, q = begin[a][:, None] + step, begin[b][:, None] + step
+        last = len(self.key) - 1
+        differ = np.zeros((len(a), wide, wide), np.uint8)
+        for w in range(self.codes.shape[1]):
+            word = self.codes[:, w]
+            differ += np.bitwise_count(word[np.minimum(p, last)][:, :, None] ^ word[np.minimum(q, last)][:, None, :])
+        hit, i, j = np.nonzero(differ <= limit)
+        x, y = p[hit, i], q[hit, j]
+        keep = (x < y) & (x < end[a[hit]]) & (y < end[b[hit]])
+        return x[keep], y[keep], differ[hit[keep], i[keep], j[keep]].astype(np.int64)
