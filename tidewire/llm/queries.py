@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import leaks, mixing, near_text, nearest_time, pieces, rank_walk, top_runs
+from tidewire.llm.oracles import oracle_sql  # noqa: F401 - for the driver's entry
 from tidewire.runtime import cut, read_table
 
 #: The four scores of a profile, and whether more of it is better.
@@ -91,25 +92,3 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = [p1_found, p1_ranking, p2_found, p2_top_mentions, p4_found, p6_found, p6_groups, p8_found, p8_leaked_items, p8_cleaned, p9_mixed, p9_shares, p10_pieces]
     return {f.__name__: f for f in each}
-
-
-_TOP_MENTIONS = """
-    WITH rows AS (SELECT DISTINCT ts_code, publish_date, news_id, coarse_score FROM article_mentions
-        WHERE ts_code IS NOT NULL AND publish_date <> '' AND coarse_score IS NOT NULL AND NOT isnan(coarse_score)),
-    placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY ts_code, publish_date ORDER BY coarse_score DESC, news_id ASC NULLS LAST) AS INTEGER) AS place FROM rows)
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p2_found": _TOP_MENTIONS + "SELECT ts_code, publish_date, news_id FROM placed WHERE place <= 3",
-        "p2_top_mentions": _TOP_MENTIONS + "SELECT ts_code, publish_date, news_id, coarse_score, place FROM placed WHERE place <= 3",
-        "p4_found": """
-            WITH p AS (SELECT DISTINCT ts_code, publish_date FROM daily_profiles),
-            q AS (SELECT DISTINCT ts_code, trade_date FROM market_prices WHERE trade_date IS NOT NULL AND ts_code IS NOT NULL),
-            near AS (SELECT p.ts_code, p.publish_date, q.trade_date, row_number() OVER (PARTITION BY p.ts_code, p.publish_date
-                ORDER BY abs(q.trade_date - TRY_CAST(p.publish_date AS DATE)), q.trade_date DESC) AS n
-                FROM p JOIN q ON p.ts_code = q.ts_code AND abs(q.trade_date - TRY_CAST(p.publish_date AS DATE)) <= 3)
-            SELECT ts_code, publish_date, strftime(trade_date, '%Y-%m-%d') AS trade_date FROM near WHERE n = 1
-        """,
-    }
