@@ -4,8 +4,8 @@ from tidewire.runtime import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="3g")
+def spark(tmp_path_factory):
+    session = build_session("tests", "local[4]", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="3g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -39,6 +39,7 @@ def build_session(name: str = "tidewire", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.appName(name)
     if master:
@@ -59,14 +60,18 @@ def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, a private one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a session on one machine gets a private one, which goes with it; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewire-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidewire-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -88,6 +93,14 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files behind a table of :func:`written` that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
