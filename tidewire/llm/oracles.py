@@ -22,6 +22,22 @@ TOP_MENTIONS = """
     placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY ts_code, publish_date ORDER BY coarse_score DESC, news_id ASC NULLS LAST) AS INTEGER) AS place FROM rows)
 """
 
+#: The chain by its whole matrix, a hundred steps from an even start.
+_WALK = """
+    WITH RECURSIVE p AS (SELECT DISTINCT publish_date AS d, ts_code AS i, net_sentiment_factor AS s1, -negative_shock_carry AS s2, attention_factor AS s3, operations_event_state AS s4
+        FROM daily_profiles WHERE publish_date IS NOT NULL AND ts_code IS NOT NULL),
+    long AS (SELECT d, i, 1 AS s, s1 AS v FROM p UNION ALL SELECT d, i, 2, s2 FROM p UNION ALL SELECT d, i, 3, s3 FROM p UNION ALL SELECT d, i, 4, s4 FROM p),
+    scored AS (SELECT * FROM long WHERE v IS NOT NULL AND NOT isnan(v)),
+    held AS (SELECT p.d, p.i, count(s.s) AS h, count(*) OVER (PARTITION BY p.d) AS n FROM p LEFT JOIN scored s ON s.d = p.d AND s.i = p.i GROUP BY p.d, p.i),
+    jumps AS (SELECT a.d, a.i, b.i AS k, (1.0 / ha.h) * (1.0 / hb.h) / sum(1.0 / hb.h) OVER (PARTITION BY a.d, a.i, a.s) AS c
+        FROM scored a JOIN scored b ON a.d = b.d AND a.s = b.s AND b.v >= a.v JOIN held ha ON ha.d = a.d AND ha.i = a.i JOIN held hb ON hb.d = b.d AND hb.i = b.i
+        UNION ALL SELECT x.d, x.i, y.i, CASE WHEN x.h = 0 THEN 1.0 / x.n ELSE 0.0 END FROM held x JOIN held y ON x.d = y.d WHERE x.h = 0 OR x.i = y.i),
+    chance AS (SELECT d, i, k, sum(c) AS c FROM jumps GROUP BY d, i, k),
+    walk AS (SELECT 0 AS step, d, i, CAST(1.0 / n AS DOUBLE) AS m, n FROM held
+        UNION ALL SELECT any_value(w.step) + 1, c.d, c.k, 0.85 * sum(w.m * c.c) + 0.15 / any_value(w.n), any_value(w.n) FROM walk w JOIN chance c ON c.d = w.d AND c.i = w.i WHERE w.step < 100 GROUP BY c.d, c.k),
+    ranked AS (SELECT d AS publish_date, i AS ts_code, m * n AS stationarity, CAST(row_number() OVER (PARTITION BY d ORDER BY round(m * n, 10) DESC, i) AS INTEGER) AS walk_rank FROM walk WHERE step = 100)
+"""
+
 _LEAKS = f"""
     WITH docs AS (SELECT doc_id, text, {_letters('text')} AS clean FROM documents WHERE text IS NOT NULL),
     items AS (SELECT DISTINCT item_id, {_letters('text')} AS clean FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -47,6 +63,8 @@ _NEAR = f"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _WALK + "SELECT publish_date, ts_code FROM ranked WHERE walk_rank <= 3",
+        "p1_ranking": _WALK + "SELECT publish_date, ts_code, CAST(round(round(CAST(stationarity AS DECIMAL(28, 14)), 10), 6) AS DOUBLE) AS stationarity, walk_rank FROM ranked",
         "p2_found": TOP_MENTIONS + "SELECT ts_code, publish_date, news_id FROM placed WHERE place <= 3",
         "p2_top_mentions": TOP_MENTIONS + "SELECT ts_code, publish_date, news_id, coarse_score, place FROM placed WHERE place <= 3",
         "p4_found": """

@@ -21,7 +21,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    return rank_walk.rank_walk(read_table(spark, folder, "daily_profiles"), "publish_date", "ts_code", PROFILE_SCORES)
+    ranked = rank_walk.rank_walk(read_table(spark, folder, "daily_profiles"), "publish_date", "ts_code", PROFILE_SCORES)
+    return ranked.withColumn("stationarity", F.round("stationarity", 6))
 
 
 def _best_mentions(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,19 +7,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.runtime import cut
+from tidewire.runtime import cut, drop_written, written
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 200, 1e-12
+DAMPING, ROUNDS, TOLERANCE = 0.85, 400, 1e-12
+DIGITS = 10  # of a stationarity relative to the mean one; what differs less is equal
 LOCAL_ROWS = 1_000_000  # a group up to this size is walked by one task (some 100 MB); a larger one by the whole cluster
 
 
-def walk(scores: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+def walk(scores: np.ndarray, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> np.ndarray:
     """Stationarity of the rows of ``scores`` (items by scores, more is better, NaN is no score).
 
     From an item one of its scores is picked evenly, then an item that is at least as good by that score. A
     target's chance carries the weight 1 / (number of its scores): an item with a missing score is reached
     through its other scores as often as if the missing one agreed with them. An item without scores keeps
-    only the restart mass. Prefix sums over each sorted score make a round linear in the items.
+    only the restart mass. Prefix sums over each sorted score make a round linear in the items. The walk goes on until it settles, and is an
+    error if it hasn't after ROUNDS; with ``rounds`` it ends after so many at the latest.
     """
     n = len(scores)
     if n == 0:
@@ -39,7 +41,7 @@ def walk(scores: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS, tol
         better = np.add.reduceat(weight[items], first).cumsum()  # weight of all items at least as good, by tie
         lists.append((items, first, tie, better))
     mass = np.full(n, 1.0 / n)
-    for _ in range(rounds):
+    for _ in range(rounds or ROUNDS):
         flow = np.zeros(n)
         for items, first, tie, better in lists:
             leaving = np.add.reduceat(mass[items] * weight[items], first) / better
@@ -49,7 +51,13 @@ def walk(scores: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS, tol
         moved = np.abs(new - mass).sum()
         mass = new
         if moved < tolerance:
-            break
+            return mass
+    return _unsettled(rounds, mass)
+
+
+def _unsettled(rounds: int | None, mass):
+    if rounds is None:
+        raise RuntimeError(f"the walk has not settled after {ROUNDS} rounds")
     return mass
 
 
@@ -61,46 +69,55 @@ def _signed(scores: dict[str, int]) -> list:
     return out
 
 
-def _blocked_prefix(levels: DataFrame, keys: list[str], order: str, descending: bool, value: str, out: str) -> DataFrame:
-    """Running total of ``value`` within ``keys`` in the order of a unique ``order``, by block totals; no task holds a whole key."""
-    by = F.col(order).desc() if descending else F.col(order).asc()
-    placed = cut(levels.repartitionByRange(*keys, by).withColumn("_block", F.spark_partition_id()))
-    totals = placed.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn("_in", F.sum(value).over(inside)).join(offsets, [*keys, "_block"]).withColumn(out, F.col("_in") + F.col("_offset")).drop("_block", "_in", "_offset")
+def _walk_wide(rows: DataFrame, group: str, item: str, signed: list[str], damping: float, rounds: int | None, tolerance: float) -> DataFrame:
+    """The same walk for groups of any size: a round moves one row per item and score to its level and back, and one table of masses is kept.
 
-
-def _walk_wide(rows: DataFrame, group: str, item: str, signed: list[str], damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """The same walk for groups of any size: a round is two shuffles of one row per item and score."""
+    The levels (different values of a score) are sorted once into blocks; running totals within a block and over block totals give every level what
+    stands above it, so no task holds a score of a whole group. The last round's table is deleted as soon as the next one is written.
+    """
     held = sum((F.col(s).isNotNull().cast("int") for s in signed), F.lit(0))
     items = cut(rows.withColumn("_held", held).withColumn("_w", F.when(F.col("_held") > 0, 1.0 / F.col("_held")).otherwise(0.0)))
     sizes = items.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    long = items.select(group, item, "_w", F.explode(F.array(*[F.struct(F.lit(i).alias("_list"), F.col(s).alias("_v")) for i, s in enumerate(signed)])).alias("e")).select(group, item, "_w", "e.*").where("_v is not null")
-    levels = long.groupBy(group, "_list", "_v").agg(F.sum("_w").alias("_level_w"))
-    better = _blocked_prefix(levels, [group, "_list"], "_v", True, "_level_w", "_better").drop("_level_w")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_list"), F.col(s).alias("_v")) for i, s in enumerate(signed)]))
+    long = items.select(group, item, "_w", each.alias("e")).select(group, item, "_w", "e.*").where("_v is not null")
+    place = [group, "_list", "_block"]
+    levels = long.groupBy(group, "_list", "_v").agg(F.sum("_w").alias("_level"))
+    levels = cut(levels.repartitionByRange(group, "_list", F.desc("_v")).withColumn("_block", F.spark_partition_id()))
+
+    def running(table: DataFrame, value: str, out: str, falling: bool) -> DataFrame:
+        by = F.col("_v").desc() if falling else F.col("_v").asc()
+        blocks = F.col("_block").asc() if falling else F.col("_block").desc()
+        totals = table.groupBy(*place).agg(F.sum(value).alias("_sum"))
+        before = Window.partitionBy(group, "_list").orderBy(blocks).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*place, F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_offset"))
+        inside = Window.partitionBy(*place).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        return table.withColumn("_in", F.sum(value).over(inside)).join(offsets, place).withColumn(out, F.col("_in") + F.col("_offset")).drop("_in", "_offset")
+
+    better = running(levels, "_level", "_better", True).drop("_level")
     long = cut(long.join(better, [group, "_list", "_v"]))
-    mass = items.join(sizes, group).select(group, item, "_held", "_n", (1.0 / F.col("_n")).alias("_mass"))
-    mass = cut(mass)
-    for _ in range(rounds):
-        leaving = long.join(mass.select(group, item, "_mass"), [group, item]).groupBy(group, "_list", "_v").agg(F.sum(F.col("_mass") * F.col("_w") / F.col("_better")).alias("_out"))
-        reach = _blocked_prefix(leaving, [group, "_list"], "_v", False, "_out", "_reach").drop("_out")
-        flow = long.join(reach, [group, "_list", "_v"]).groupBy(group, item).agg(F.sum(F.col("_w") * F.col("_reach")).alias("_flow"))
+    mass, last = cut(items.join(sizes, group).select(group, item, "_held", "_n", (1.0 / F.col("_n")).alias("_mass"))), None
+    for _ in range(rounds or ROUNDS):
+        leaving = long.join(mass.select(group, item, "_mass"), [group, item]).groupBy(*place, "_v").agg(F.sum(F.col("_mass") * F.col("_w") / F.col("_better")).alias("_out"))
+        reach = running(leaving, "_out", "_reach", False).drop("_out")
+        flow = long.join(reach, [*place, "_v"]).groupBy(group, item).agg(F.sum(F.col("_w") * F.col("_reach")).alias("_flow"))
         idle = mass.groupBy(group).agg(F.sum(F.when(F.col("_held") == 0, F.col("_mass")).otherwise(0.0)).alias("_idle"))
         new = mass.join(flow, [group, item], "left").join(idle, group).select(
             group, item, "_held", "_n", F.col("_mass").alias("_old"),
             (damping * (F.coalesce("_flow", F.lit(0.0)) + F.col("_idle") / F.col("_n")) + (1 - damping) / F.col("_n")).alias("_mass"),
         )
-        new = cut(new)
+        new = written(new, "walk")
+        if last is not None:
+            drop_written(last)
+        last, mass = new, new.drop("_old")
         moved = new.groupBy(group).agg(F.sum(F.abs(F.col("_mass") - F.col("_old"))).alias("m")).agg(F.max("m")).first()[0]
-        mass = new.drop("_old")
         if moved is None or moved < tolerance:
             break
-    return mass.select(group, item, F.col("_mass").alias("stationarity"))
+    else:
+        _unsettled(rounds, mass)
+    return mass.select(group, item, (F.col("_mass") * F.col("_n")).alias("stationarity"))
 
 
-def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], top: int | None = None, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], top: int | None = None, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """``group, item, stationarity, walk_rank``: the items of each group in one order from several scores.
 
     ``scores`` maps columns to +1 (more is better) or -1. Only order within the group counts, never the size of
@@ -119,7 +136,7 @@ def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], top:
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates()
         mass = walk(pdf[signed].to_numpy(float), damping, rounds, tolerance)
-        mass = np.round(mass, 12)
+        mass = np.round(mass * len(mass), DIGITS)
         order = np.lexsort((pdf[item].to_numpy(), -mass))[:top]
         out = pdf.iloc[order][[group, item]].copy()
         out["stationarity"], out["walk_rank"] = mass[order], np.arange(1, len(order) + 1, dtype=np.int32)
@@ -128,7 +145,7 @@ def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], top:
     small = rows.where(~F.col(group).isin(large)) if large else rows
     found = small.groupBy(group).applyInPandas(local, schema)
     if large:
-        wide = _walk_wide(rows.where(F.col(group).isin(large)).distinct(), group, item, signed, damping, rounds, tolerance).withColumn("stationarity", F.round("stationarity", 12))
+        wide = _walk_wide(rows.where(F.col(group).isin(large)).distinct(), group, item, signed, damping, rounds, tolerance).withColumn("stationarity", F.round("stationarity", DIGITS))
         # ranks by block: the sorted table's partitions are counted first, so no task holds a whole group
         placed = cut(wide.repartitionByRange(group, F.desc("stationarity"), item).withColumn("_block", F.spark_partition_id()))
         before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
