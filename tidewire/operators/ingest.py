@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import strip, text
@@ -28,11 +28,23 @@ def drop_empty(news: DataFrame) -> DataFrame:
     return news.where((text("title") != "") | (text("body") != ""))
 
 
+def key_hash(columns: list[str]) -> Column:
+    """128 bits of several columns; null differs from every text."""
+    return F.struct(F.xxhash64(*[F.col(c).isNull() for c in columns], *columns).alias("a"), F.xxhash64(F.lit(1), *columns, *[F.col(c).isNull() for c in columns]).alias("b"))
+
+
 def first_of(news: DataFrame, keys: list[str], order: list[str], skip_empty: bool = False) -> DataFrame:
-    """The first row of each key in ``order`` (nulls are one key); with ``skip_empty`` rows with an empty first key all stay."""
-    one = Window.partitionBy(*keys).orderBy(*order)
+    """The first row of each key in ``order`` (nulls are one key); with ``skip_empty`` rows with an empty first key all stay.
+
+    Keys are taken as a hash of 128 bits, so that texts are neither sorted nor compared. The smallest ``order`` of a key is found by partial aggregation before
+    the shuffle, and rows are joined to it by hash and order, so that a key with a third of all rows is never brought together; ``order`` must be unique in a key, or all its first rows stay.
+    """
     if not skip_empty:
-        return news.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+        hashed = news.withColumn("_h", key_hash(keys))
+        first = hashed.groupBy("_h").agg(F.min(F.struct(*order)).alias("_o")).select(F.col("_h").alias("_fh"), F.col("_o").alias("_fo"))
+        kept = (F.col("_h") == F.col("_fh")) & F.struct(*order).eqNullSafe(F.col("_fo"))
+        return hashed.join(first, kept, "left_semi").drop("_h")
+    one = Window.partitionBy(*keys).orderBy(*order)
     # rows without a key are not brought together: they take no part in the window
     named = F.coalesce(F.col(keys[0]), F.lit("")) != ""
     return news.where(named).withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").unionByName(news.where(~named))
@@ -77,10 +89,7 @@ def normalise_news(raw: DataFrame, languages: list[str] | None = None, sources:
     rows = rows.withColumn("id", F.when(F.col("id") != "", F.col("id")).otherwise(surrogate_id("raw_source_file", "line_no", "title", "publish_time")))
     rows = local_times(rows, sources)
     if dedup:
-        one = Window.partitionBy("raw_source_file", "id").orderBy("line_no")
-        rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1")
-        same = Window.partitionBy("raw_source_file", "title", "body", "publish_time").orderBy("line_no")
-        rows = rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+        rows = first_of(first_of(rows, ["raw_source_file", "id"], ["line_no"]), ["raw_source_file", "title", "body", "publish_time"], ["line_no"])
     return rows.select("id", "title", "body", "publish_time", "publish_date", "source", "url", "language", "raw_source_file", "line_no")
 
 

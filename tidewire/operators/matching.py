@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,39 +21,58 @@ def _aliases(universe: DataFrame, least: int) -> DataFrame:
     return listed.where(F.length("squeezed") >= least)
 
 
-def _find(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
+def leading(text: str, ends: list[tuple[int, str]]) -> set[str]:
+    """Of all hits (place of the last letter, word) those that a reader takes who goes from left to right, takes the longest word at a place and goes on behind it."""
+    longest: dict[int, int] = {}
+    for end, word in ends:
+        start = end + 1 - len(word)
+        longest[start] = max(longest.get(start, 0), len(word))
+    taken, at = set(), 0
+    for start in sorted(longest):
+        if start >= at:
+            at = start + longest[start]
+            taken.add(text[start:at])
+    return taken
+
+
+def _find(batches: Iterator[pa.RecordBatch], words: Broadcast) -> Iterator[pa.RecordBatch]:
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for w in words:
+    for w in words.value:
         machine.add_word(w, w)
-    if words:
+    if words.value:
         machine.make_automaton()
     for b in batches:
-        keys, found = [], []
+        keys, found, leads = [], [], []
         for i, t in enumerate(b.column(1).to_pylist()):
-            here = sorted({w for _, w in machine.iter(t)}) if words and t else []
+            ends = list(machine.iter(t)) if words.value and t else []
+            here, first = sorted({w for _, w in ends}), leading(t, ends) if ends else set()
             keys += [i] * len(here)
             found += here
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(found, pa.string())], names=["_key", "squeezed"])
+            leads += [w in first for w in here]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(found, pa.string()), pa.array(leads, pa.bool_())], names=["_key", "squeezed", "leading"])
 
 
 def alias_hits(news: DataFrame, key: str, content: Column, universe: DataFrame, least: int = 2) -> DataFrame:
-    """``_key, ts_code, place, alias, squeezed``: every alias of ``least`` squeezed characters or more that stands in the squeezed content.
+    """``_key, ts_code, place, alias, squeezed, leading``: every alias of ``least`` squeezed characters or more that stands in the squeezed content.
 
-    Aliases go to the readers as an automaton (at most ALIASES_AT_ONCE, else in parts), so texts are read once and never shuffled; hits are
-    joined to all stocks that share an alias.
+    ``leading`` marks aliases that the text is read as from left to right, the longest first and without overlap (see :func:`leading`). Aliases go to the readers as
+    a broadcast list (at most ALIASES_AT_ONCE, else in parts; then nothing is leading for certain and the call is refused), so texts are read once and never
+    shuffled; hits are joined to all stocks that share an alias.
     """
     listed = _aliases(universe, least)
     names = listed.select("squeezed").distinct()
     parts = -(-names.count() // ALIASES_AT_ONCE) or 1
     rows = news.select(F.col(key).alias("_key"), squeeze(content).alias("_text"))
     kind = dict(rows.dtypes)["_key"]
+    context = news.sparkSession.sparkContext
     found = []
     for p in range(parts):
-        words = [r[0] for r in names.where(F.pmod(F.xxhash64("squeezed"), F.lit(parts)) == p).collect()]
-        found.append(rows.mapInArrow(lambda it, w=words: _find(it, w), f"_key {kind}, squeezed string"))
-    return reduce(DataFrame.unionByName, found).join(listed, "squeezed").select("_key", "ts_code", "place", "alias", "squeezed")
+        words = context.broadcast([r[0] for r in names.where(F.pmod(F.xxhash64("squeezed"), F.lit(parts)) == p).collect()])
+        part = rows.mapInArrow(lambda it, w=words: _find(it, w), f"_key {kind}, squeezed string, leading boolean")
+        found.append(part if parts == 1 else part.withColumn("leading", F.raise_error(F.lit("leading aliases need one automaton")).cast("boolean")))
+    return reduce(DataFrame.unionByName, found).join(listed, "squeezed").select("_key", "ts_code", "place", "alias", "squeezed", "leading")
 
 
 def _by_stock(found: DataFrame) -> DataFrame:
@@ -88,15 +108,17 @@ def record_match(news: DataFrame, universe: DataFrame, key: str = "record_no") -
 def quarter_match(news: DataFrame, universe: DataFrame, key: str = "record_no", body_limit: int = 1600) -> DataFrame:
     """Stock matches of the quarter builder with their score; matches that are too weak or too ambiguous are left out.
 
-    The text is title and the first ``body_limit`` characters of the body. Title hits weigh more than body hits; finance and noise
-    words add and take; short ambiguous aliases need support.
+    The text is title and the first ``body_limit`` characters of the body. A stock is a candidate if the text reads as one of its aliases (longest first, without
+    overlap: a text with only a longer name is none of a stock that has part of it as an alias); then all its aliases in title or body count. Title hits weigh more
+    than body hits; finance and noise words add and take; short ambiguous aliases need support.
     """
     cut = news.withColumn("body", F.substring(F.coalesce("body", F.lit("")), 1, body_limit))
     found = alias_hits(cut, key, title_and_body(), universe)
     names = universe.select("ts_code", F.col("name").alias("stock_name"), "industry", squeeze("name").alias("_full")).dropDuplicates(["ts_code"])
     lower = cut.withColumn("_low", F.lower(title_and_body()))
     texts = lower.select(F.col(key).alias("_key"), squeeze("title").alias("_title"), squeeze("body").alias("_body"), hits(F.col("_low"), W.QUARTER_FINANCE).alias("_fin"), hits(F.col("_low"), W.QUARTER_NOISE).alias("_noise"), (F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)\s+", "") == "").alias("_untitled"))
-    placed = found.join(texts, "_key").withColumn("_in_title", F.contains("_title", F.col("squeezed"))).where(F.col("_in_title") | F.contains("_body", F.col("squeezed")))
+    wanted = found.where("leading").select("_key", "ts_code").distinct()
+    placed = found.join(wanted, ["_key", "ts_code"], "left_semi").join(texts, "_key").withColumn("_in_title", F.contains("_title", F.col("squeezed"))).where(F.col("_in_title") | F.contains("_body", F.col("squeezed")))
     ambiguous = F.col("alias").isin(W.AMBIGUOUS)
     grouped = placed.join(names, "ts_code").groupBy("_key", "ts_code", "stock_name", "industry").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "alias"))), lambda x: x["alias"]), "|").alias("matched_aliases"),

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewire.functions import wordlists as W
 from tidewire.functions.text import clamp, number, r4, split_bar, text
@@ -12,11 +18,15 @@ from tidewire.operators.mentions import mention_weight
 GROUP = ["publish_date", "ts_code", "stock_name"]
 DECAY = 0.65
 STATES = ["earnings", "operations", "financing", "market_buzz", "risk"]
-#: The columns of a profile, in order.
-COLUMNS = (
-    "publish_date ts_code stock_name industry article_count mention_count net_sentiment_factor negative_shock_factor attention_factor sentiment_dispersion_factor event_density_factor risk_ratio positive_ratio neutral_ratio negative_ratio dominant_event_type top_keywords "
-    "sentiment_delta_1d sentiment_trend_factor sentiment_momentum_factor ema3_sentiment_state ema5_sentiment_state negative_shock_carry event_novelty_factor"
-).split() + [f"{s}_event_{k}" for k in ("factor", "state") for s in STATES] + ["state_composite_factor", "composite_score", "profile_label"]
+#: The columns of a profile, in order.
+COLUMNS = [
+    "publish_date", "ts_code", "stock_name", "industry", "article_count", "mention_count", "net_sentiment_factor", "negative_shock_factor", "attention_factor",
+    "sentiment_dispersion_factor", "event_density_factor", "risk_ratio", "positive_ratio", "neutral_ratio", "negative_ratio", "dominant_event_type", "top_keywords",
+    "sentiment_delta_1d", "sentiment_trend_factor", "sentiment_momentum_factor", "ema3_sentiment_state", "ema5_sentiment_state", "negative_shock_carry", "event_novelty_factor",
+    "earnings_event_factor", "operations_event_factor", "financing_event_factor", "market_buzz_event_factor", "risk_event_factor",
+    "earnings_event_state", "operations_event_state", "financing_event_state", "market_buzz_event_state", "risk_event_state",
+    "state_composite_factor", "composite_score", "profile_label",
+]
 
 
 def distinct_mentions(mentions: DataFrame) -> DataFrame:
@@ -67,27 +77,42 @@ def top_keywords(mentions: DataFrame, most: int = 5) -> DataFrame:
     return best.groupBy(*GROUP).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), "|").alias("top_keywords"))
 
 
-def fold_states(rows: DataFrame, key: str, order: list[str], smooth: dict[str, tuple[str, float]], decay: dict[str, tuple[str, float]]) -> DataFrame:
-    """Recursive states along each key's rows, by one fold over the key's ordered rows.
+def _recur(batches: Iterator[pa.RecordBatch], key: str, smooth: dict[str, tuple[str, float]], decay: dict[str, tuple[str, float]]) -> Iterator[pa.RecordBatch]:
+    """Adds the states to batches that are sorted by key and order; all keys of a batch move on together, a place at a time, and the last one's states go on in the next batch."""
+    last_key, last = None, {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(b.schema.get_field_index(key))
+        same = pc.fill_null(pc.equal(keys.slice(1), keys.slice(0, len(keys) - 1)), False).to_numpy(zero_copy_only=False).astype(bool)
+        start = np.flatnonzero(np.r_[True, ~same])
+        size = np.diff(np.r_[start, len(keys)])
+        goes_on = last_key is not None and keys[0].as_py() == last_key
+        outs = {}
+        for out, (column, a) in [*smooth.items(), *decay.items()]:
+            x = np.nan_to_num(pc.fill_null(b.column(b.schema.get_field_index(column)), 0.0).to_numpy(zero_copy_only=False))
+            keep, take = (1 - a, a) if out in smooth else (a, 1.0)
+            state = np.zeros(len(keys))
+            state[start] = x[start]
+            if goes_on:
+                state[0] = last[out] * keep + x[0] * take
+            for t in range(1, int(size.max())):
+                at = start[size > t] + t
+                state[at] = state[at - 1] * keep + x[at] * take
+            outs[out] = state
+        last_key, last = keys[-1].as_py(), {o: v[-1] for o, v in outs.items()}
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v) for v in outs.values())], names=[*b.schema.names, *outs])
 
-    ``smooth``: output to (input, alpha), seeded with the first value; ``decay``: output to (input, factor), seeded with 0. Missing inputs
-    count as 0. What is folded of a key is one small row a day, so its size follows the calendar.
-    """
-    inputs = list(dict.fromkeys([c for c, _ in [*smooth.values(), *decay.values()]]))
-    item = F.struct(*order, *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"x_{c}") for c in inputs], F.struct(*rows.columns).alias("row"))
-    outs = [*smooth, *decay]
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        seen = F.size(acc) > 0
-        values = [F.when(seen, last[o] * (1 - a) + x[f"x_{c}"] * a).otherwise(x[f"x_{c}"]).alias(o) for o, (c, a) in smooth.items()]
-        values += [(F.when(seen, last[o]).otherwise(0.0) * d + x[f"x_{c}"]).alias(o) for o, (c, d) in decay.items()]
-        return F.concat(acc, F.array(F.struct(*values)))
+def fold_states(rows: DataFrame, key: str, order: list[str], smooth: dict[str, tuple[str, float]], decay: dict[str, tuple[str, float]]) -> DataFrame:
+    """Recursive states along each key's rows in ``order``, in one pass over the sorted rows that keeps the last state only.
 
-    empty = F.array().cast("array<struct<" + ",".join(f"{o}:double" for o in outs) + ">>")
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_rows")).select("_rows", F.aggregate("_rows", empty, step).alias("_states"))
-    zipped = grouped.select(F.explode(F.arrays_zip("_rows", "_states")).alias("z"))
-    return zipped.select("z._rows.row.*", *[F.col(f"z._states.{o}").alias(o) for o in outs])
+    ``smooth``: output to (input, alpha), seeded with the first value; ``decay``: output to (input, factor), seeded with 0. Null and NaN inputs
+    count as 0. Rows with a null key have no history: each starts anew.
+    """
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, *order)
+    schema = StructType([StructField(f.name, f.dataType) for f in rows.schema.fields] + [StructField(o, DoubleType()) for o in [*smooth, *decay]])
+    return sorted_rows.mapInArrow(lambda it: _recur(it, key, smooth, decay), schema)
 
 
 def with_states(base: DataFrame) -> DataFrame:
@@ -109,6 +134,7 @@ def with_states(base: DataFrame) -> DataFrame:
     return rows.withColumns({"state_composite_factor": clamp(total(state), -1.0, 1.0), "composite_score": clamp(score, -1.0, 1.0)})
 
 
+#: Thresholds and words of a label.
 def profile_label() -> Column:
     a, n, m = F.col("attention_factor"), F.col("net_sentiment_factor"), F.round("sentiment_momentum_factor", 10)
     return F.concat_ws(
@@ -120,6 +146,12 @@ def profile_label() -> Column:
     )
 
 
+def with_industry(rows: DataFrame, universe: DataFrame) -> DataFrame:
+    """Adds the industry of ``ts_code`` from the universe, empty where unknown; of several rows of a code the greatest industry counts."""
+    industry = universe.groupBy("ts_code").agg(F.max(text("industry")).alias("industry"))
+    return rows.drop("industry").join(industry, "ts_code", "left").withColumn("industry", F.coalesce("industry", F.lit("")))
+
+
 def daily_profiles(mentions: DataFrame, universe: DataFrame) -> DataFrame:
     """The profile of each date, code and name with all of COLUMNS.
 
@@ -127,8 +159,7 @@ def daily_profiles(mentions: DataFrame, universe: DataFrame) -> DataFrame:
     """
     base = base_factors(mentions).join(dominant_events(mentions), GROUP).join(top_keywords(mentions), GROUP, "left").withColumn("top_keywords", F.coalesce("top_keywords", F.lit("")))
     states = with_states(base)
-    industry = universe.groupBy("ts_code").agg(F.max(text("industry")).alias("industry"))
-    rows = states.join(industry, "ts_code", "left").withColumn("industry", F.coalesce("industry", F.lit(""))).withColumn("profile_label", profile_label())
+    rows = with_industry(states, universe).withColumn("profile_label", profile_label())
     late = [c for c in COLUMNS if c.endswith(("_state", "_1d", "_carry", "state_composite_factor", "composite_score")) or c in ("sentiment_trend_factor", "sentiment_momentum_factor", "event_novelty_factor")]
     return rows.select(*[r4(F.col(c)).alias(c) if c in late else F.col(c) for c in COLUMNS])
 

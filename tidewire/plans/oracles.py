@@ -55,6 +55,15 @@ UNIVERSE = f"""
     cleaned AS (SELECT ts_code, name, industry, {_text('part')} AS alias, min(place) AS place FROM listed WHERE {_text('part')} <> '' GROUP BY ALL),
     aliases AS (SELECT *, {_squeeze('alias')} AS squeezed FROM cleaned)
 """
+#: Aliases split at bars only, one of each squeezed form, and what the text reads as: one alternation of all, longest first, taken from left to right.
+QUARTER = f"""
+    listed AS (SELECT ts_code, name, industry, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM (SELECT {_text('ts_code')} AS ts_code, {_text('name')} AS name, {_text('industry')} AS industry,
+        list_concat(string_split(coalesce(aliases, ''), '|'), [name]) AS parts FROM stock_universe WHERE {_text('ts_code')} <> '' AND {_text('name')} <> '')),
+    aliases AS (SELECT ts_code, name, industry, {_text('part')} AS alias, {_squeeze('part')} AS squeezed FROM listed WHERE length({_squeeze('part')}) >= 2 QUALIFY row_number() OVER (PARTITION BY ts_code, {_squeeze('part')} ORDER BY place) = 1),
+    pattern AS (SELECT string_agg(regexp_escape(squeezed), '|' ORDER BY length(squeezed) DESC, squeezed) AS p FROM (SELECT DISTINCT squeezed FROM aliases)),
+    read_as AS (SELECT DISTINCT record_no, unnest(regexp_extract_all({_squeeze(EXCERPT)}, p)) AS squeezed FROM news_articles, pattern),
+    candidates AS (SELECT DISTINCT r.record_no, a.ts_code, a.squeezed FROM read_as r JOIN aliases a ON a.squeezed = r.squeezed)
+"""
 MATCHED = f"""
     {UNIVERSE}, texts AS (SELECT record_no, {_squeeze(BOTH)} AS content FROM news_articles),
     found AS (SELECT t.record_no, a.ts_code, a.name, a.industry, a.alias, a.place, a.squeezed FROM texts t JOIN aliases a ON length(a.squeezed) >= 2 AND contains(t.content, a.squeezed)),
@@ -240,8 +249,8 @@ def _study() -> str:
 
 def oracle_sql() -> dict[str, str]:
     quarter = f"""
-        WITH {UNIVERSE}, art AS (SELECT record_no, {_squeeze('title')} AS t, {_squeeze("substr(coalesce(body, ''), 1, 1600)")} AS b, {_squeeze(EXCERPT)} AS both_squeezed, len({_hits(f'lower({EXCERPT})', W.QUARTER_FINANCE)}) AS fin, len({_hits(f'lower({EXCERPT})', W.QUARTER_NOISE)}) AS noise FROM news_articles),
-        f AS (SELECT a.record_no, x.ts_code, x.alias, x.squeezed, {_squeeze('x.name')} AS full_name, contains(a.t, x.squeezed) AS in_title, fin, noise, a.t = '' AS untitled FROM art a JOIN aliases x ON length(x.squeezed) >= 2 AND (contains(a.t, x.squeezed) OR contains(a.b, x.squeezed))),
+        WITH {QUARTER}, wanted AS (SELECT DISTINCT record_no, ts_code FROM candidates), art AS (SELECT record_no, {_squeeze('title')} AS t, {_squeeze("substr(coalesce(body, ''), 1, 1600)")} AS b, {_squeeze(EXCERPT)} AS both_squeezed, len({_hits(f'lower({EXCERPT})', W.QUARTER_FINANCE)}) AS fin, len({_hits(f'lower({EXCERPT})', W.QUARTER_NOISE)}) AS noise FROM news_articles),
+        f AS (SELECT a.record_no, x.ts_code, x.alias, x.squeezed, {_squeeze('x.name')} AS full_name, contains(a.t, x.squeezed) AS in_title, fin, noise, a.t = '' AS untitled FROM art a JOIN wanted w ON w.record_no = a.record_no JOIN aliases x ON x.ts_code = w.ts_code AND (contains(a.t, x.squeezed) OR contains(a.b, x.squeezed))),
         g AS (SELECT record_no, ts_code, count(*) FILTER (WHERE in_title) AS title_hits, count(*) FILTER (WHERE NOT in_title) AS body_hits, max(length(squeezed)) AS longest, max((squeezed = full_name)::INT) AS has_full_name, max((alias IN ({', '.join(f"'{a}'" for a in W.AMBIGUOUS)}))::INT) AS amb, any_value(fin) AS fin, any_value(noise) AS noise, any_value(untitled) AS untitled FROM f GROUP BY ALL),
         s AS (SELECT *, {_r4("CASE WHEN has_full_name = 1 THEN 8.0::DOUBLE ELSE 0 END + title_hits * 4.0 + body_hits * 1.5 + least(fin, 6) * 0.8 - least(noise, 4) * 0.8 + CASE WHEN longest >= 4 THEN 1.0 WHEN longest = 3 THEN 0.4 ELSE -0.2 END - CASE WHEN untitled THEN 0.5 ELSE 0 END - CASE WHEN has_full_name = 0 AND amb = 1 THEN 1.0 ELSE 0 END")} AS score FROM g),
         kept AS (SELECT * FROM s WHERE NOT (has_full_name = 0 AND amb = 1 AND fin < 2 AND title_hits = 0) AND NOT (has_full_name = 0 AND fin = 0 AND title_hits = 0) AND score >= 2.5)
@@ -267,15 +276,15 @@ def oracle_sql() -> dict[str, str]:
         "ref_f6_date_range_dropping_empty": "SELECT record_no FROM news_articles WHERE coalesce(publish_date, '') <> '' AND publish_date <= '2023-11-10'",
         "ref_f7_broad_relevance": _broad(),
         "ref_f8_strict_relevance": _strict(),
-        "ref_f12_alias_hits": f"WITH {UNIVERSE}, t AS (SELECT record_no, {_squeeze(EXCERPT)} AS c FROM news_articles) SELECT DISTINCT t.record_no, a.ts_code, a.squeezed FROM t JOIN aliases a ON length(a.squeezed) >= 2 AND contains(t.c, a.squeezed)",
+        "ref_f12_alias_hits": f"WITH {QUARTER} SELECT record_no, ts_code, squeezed FROM candidates",
         "ref_f13_quarter_match": quarter + "SELECT record_no, ts_code, score, title_hits, body_hits, has_full_name FROM kept",
         "ref_t7_heap_topk": quarter + "SELECT * FROM (SELECT k.record_no, n.publish_date, ts_code, score, CAST(row_number() OVER (PARTITION BY n.publish_date, ts_code ORDER BY score DESC, k.record_no) AS INTEGER) AS place_in_day FROM kept k JOIN news_articles n ON k.record_no = n.record_no WHERE n.publish_date <> '') WHERE place_in_day <= 10",
         "ref_j1_coarse_match": f"WITH {COARSE} SELECT record_no, ts_code, name, industry, matched_aliases, coarse_score, candidate_rank FROM coarse WHERE candidate_rank <= 8",
         "ref_j2_record_match": f"WITH {match} SELECT *, CAST(row_number() OVER (PARTITION BY record_no ORDER BY match_score DESC, ts_code) AS INTEGER) AS match_rank FROM matched",
         "ref_w11_quota": f"WITH {match} SELECT record_no, ts_code FROM matched QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY record_no) <= 50",
         "ref_j4_industry": f"WITH {PROFILES}, {UNIVERSE} SELECT p.publish_date, p.ts_code, coalesce(i.industry, '') AS industry FROM p LEFT JOIN (SELECT ts_code, max(industry) AS industry FROM universe GROUP BY 1) i ON p.ts_code = i.ts_code",
-        "ref_j8_uncovered_codes": f"WITH {PROFILES} SELECT DISTINCT ts_code FROM p WHERE ts_code NOT IN (SELECT ts_code FROM market_prices WHERE close IS NOT NULL AND ts_code IS NOT NULL)",
-        "ref_d1_dedup": "WITH a AS (SELECT * FROM news_articles QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1) SELECT record_no, id FROM a QUALIFY row_number() OVER (PARTITION BY title, body, publish_time ORDER BY record_no) = 1",
+        "ref_j8_uncovered_codes": f"WITH {UNIVERSE} SELECT DISTINCT ts_code FROM universe WHERE ts_code NOT IN (SELECT ts_code FROM market_prices WHERE close IS NOT NULL AND trade_date < DATE '2023-10-04' AND ts_code IS NOT NULL)",
+        "ref_d1_dedup": f"WITH n AS (SELECT record_no, title, body, publish_time, CASE WHEN {_text('id')} <> '' THEN {_text('id')} ELSE substr(md5(coalesce(raw_source_file, '') || '|' || record_no || '|' || coalesce(title, '') || '|' || coalesce(publish_time, '')), 1, 16) END AS id FROM news_articles), a AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1) SELECT record_no, id FROM a QUALIFY row_number() OVER (PARTITION BY title, body, publish_time ORDER BY record_no) = 1",
         "ref_d2_dedup_across_files": "SELECT record_no FROM news_articles QUALIFY row_number() OVER (PARTITION BY id, title, body, publish_time ORDER BY record_no) = 1",
         "ref_d3_first_id": "SELECT record_no FROM news_articles QUALIFY coalesce(id, '') = '' OR row_number() OVER (PARTITION BY id ORDER BY record_no) = 1",
         "ref_d6_repaired_union": f"WITH a AS (SELECT coalesce(ts_code, '') AS ts_code, {_num('confidence')} AS confidence, {_num('coarse_score')} AS coarse_score FROM article_mentions UNION ALL SELECT coalesce(ts_code, ''), 0.0, {_num('close')} FROM market_prices) SELECT ts_code, count(*) AS n, round(sum(confidence), 4) AS confidence, round(sum(coarse_score), 4) AS coarse_score FROM a GROUP BY 1",
@@ -295,7 +304,7 @@ def oracle_sql() -> dict[str, str]:
         "ref_p18_derived_features": f"WITH {DERIVED} SELECT publish_date, ts_code, {_r4('sentiment_confirmation_factor')} AS confirmation, {_r4('greatest(0.0, least(1.0, coverage_reliability_factor))')} AS coverage, {_r4('multiplier')} AS multiplier FROM dm",
         "ref_w8_percentile": f"WITH {PROFILES} SELECT publish_date, ts_code, round(sig_attention_factor, 8) AS attention_signal FROM (SELECT *, {_signals({'attention_factor': 1})} FROM p WINDOW day AS (PARTITION BY publish_date))",
         **{f"ref_a10_ranking_{p}": _rank_query(p) for p in ("direct", "state", "event", "optimized")},
-        "ref_a11_ranking_summary": f"WITH {_OPT} SELECT publish_date, count(DISTINCT ts_code) AS stocks, string_agg(ts_code, '|' ORDER BY rank_in_date) FILTER (WHERE rank_in_date <= 5) AS selected FROM ranked GROUP BY 1",
+        "ref_a11_ranking_summary": f"WITH {_OPT}, days AS (SELECT publish_date, count(DISTINCT ts_code) AS n, count(*) FILTER (WHERE rank_in_date <= 5) AS selected_count, string_agg(ts_code, '|' ORDER BY rank_in_date) FILTER (WHERE rank_in_date <= 5) AS selected FROM ranked GROUP BY 1) SELECT publish_date, selected_count, selected, (SELECT count(*) FROM days) AS dates, (SELECT count(DISTINCT ts_code) FROM ranked) AS stocks, (SELECT round(avg(n), 4) FROM days) AS mean_size FROM days",
         "ref_w7_forward_returns": f"WITH q AS (SELECT ts_code, trade_date, min(close) AS close FROM market_prices WHERE trade_date IS NOT NULL AND ts_code IS NOT NULL GROUP BY ALL) SELECT ts_code, strftime(trade_date, '%Y-%m-%d') AS trade_date, {', '.join(f'round(lead(close, {h}) OVER o / close - 1, 8) AS fwd_return_{h}d' for h in (1, 3, 5))} FROM q WINDOW o AS (PARTITION BY ts_code ORDER BY trade_date)",
         "ref_j5_asof_forward": f"WITH {PROFILES}, {QUOTES}, a AS ({ASOF.format(left='p')}) SELECT publish_date, ts_code, strftime(anchor, '%Y-%m-%d') AS anchor_trade_date, anchor_close, f1 AS fwd_return_1d FROM a",
         "ref_a15_topk_performance": f"WITH {TOPK} SELECT * FROM perf",
@@ -309,9 +318,9 @@ def oracle_sql() -> dict[str, str]:
             perf AS (SELECT preset, k, horizon, round(t, 10) AS t, round(CASE WHEN t IS NOT NULL THEN a END, 10) AS a, round(t - a, 10) AS e, round(t - b, 10) AS s FROM agg)
             SELECT preset, k, horizon, count(t) AS n_dates, round(avg(t), 10) AS avg_topk_return, round(avg(a), 10) AS avg_universe_return, round(avg(e), 10) AS avg_excess_return, round(avg(s), 10) AS avg_top_bottom_spread, round(avg(CASE WHEN e IS NOT NULL THEN (e > 0)::INT::DOUBLE END), 10) AS hit_rate_vs_universe FROM perf GROUP BY ALL
         """,
-        "ref_a17_time_series": f"WITH {_time_series()}, rk AS (SELECT *, {rank('x')} AS rx, {rank('y')} AS ry FROM lng), st AS (SELECT factor, direction, horizon, count(*) AS n_obs, {corr('x', 'y')} AS p, {corr('rx', 'ry')} AS s FROM rk GROUP BY ALL HAVING count(*) >= 5), bk AS ({buckets('lng', 'x', 'y')}) SELECT factor, horizon, n_obs, round(p, 8) AS pearson_corr, round(s, 8) AS spearman_corr, round(top, 8) AS top_bucket_mean_return, round(bottom, 8) AS bottom_bucket_mean_return, round((top - bottom) * direction, 8) AS expected_top_bottom_gap FROM st JOIN bk USING (factor, direction, horizon)",
-        "ref_a18_cross_section": f"WITH {_time_series()}, pr AS (SELECT publish_date, factor, direction, horizon, round((arg_min(x, ts_code) - arg_max(x, ts_code)) * direction, 10) AS dx, round(arg_min(y, ts_code) - arg_max(y, ts_code), 10) AS dy FROM lng GROUP BY publish_date, factor, direction, horizon HAVING count(DISTINCT ts_code) = 2), rk AS (SELECT *, {rank('dx')} AS rx, {rank('dy')} AS ry FROM pr), st AS (SELECT factor, direction, horizon, count(*) AS n_dates, {corr('dx', 'dy')} AS p, {corr('rx', 'ry')} AS s, avg((sign(dx) = sign(dy))::INT::DOUBLE) AS hit FROM rk GROUP BY ALL HAVING count(*) >= 5), bk AS ({buckets('pr', 'dx', 'dy')}) SELECT factor, horizon, n_dates, round(p, 8) AS spread_corr, round(s, 8) AS spread_rank_corr, round(hit, 8) AS rank_hit_rate, round(top, 8) AS top_bucket_return_spread, round(bottom, 8) AS bottom_bucket_return_spread, round(top - bottom, 8) AS top_bottom_spread_gap FROM st JOIN bk USING (factor, direction, horizon)",
-        "ref_a19_direction": f"WITH {_time_series()}, s AS (SELECT factor, horizon, y, x * direction AS g, abs(x * direction) > 1e-12 AS moved FROM lng), t AS (SELECT factor, horizon, count(*) AS a, count(*) FILTER (WHERE moved) AS n_obs, avg((sign(g) = sign(y))::INT::DOUBLE) FILTER (WHERE moved) AS hit, avg((y > 0)::INT::DOUBLE) FILTER (WHERE moved) AS up, avg((y < 0)::INT::DOUBLE) FILTER (WHERE moved) AS down FROM s GROUP BY ALL) SELECT factor, horizon, n_obs, round(hit, 8) AS raw_direction_hit_rate, round(up, 8) AS market_up_ratio, round(down, 8) AS market_down_ratio, round(greatest(up, down), 8) AS market_majority_hit_rate, round(hit - greatest(up, down), 8) AS excess_hit_rate_vs_market FROM t WHERE a >= 5 AND n_obs >= 5",
+        "ref_a17_time_series": f"WITH {_time_series()}, rk AS (SELECT *, {rank('x')} AS rx, {rank('y')} AS ry FROM lng), st AS (SELECT factor, direction, horizon, count(*) AS n_obs, {corr('x', 'y')} AS p, {corr('rx', 'ry')} AS s FROM rk GROUP BY ALL HAVING count(*) >= 5), bk AS ({buckets('lng', 'x', 'y')}) SELECT factor, horizon, n_obs, {_r8('p')} AS pearson_corr, {_r8('s')} AS spearman_corr, {_r8('top')} AS top_bucket_mean_return, {_r8('bottom')} AS bottom_bucket_mean_return, {_r8('(top - bottom) * direction')} AS expected_top_bottom_gap FROM st JOIN bk USING (factor, direction, horizon)",
+        "ref_a18_cross_section": f"WITH {_time_series()}, two AS (SELECT ts_code FROM panel WHERE f1 IS NOT NULL AND NOT isnan(f1) GROUP BY ts_code ORDER BY count(*) DESC, ts_code LIMIT 2), pr AS (SELECT publish_date, factor, direction, horizon, round((arg_min(x, ts_code) - arg_max(x, ts_code)) * direction, 10) AS dx, round(arg_min(y, ts_code) - arg_max(y, ts_code), 10) AS dy FROM lng WHERE ts_code IN (SELECT ts_code FROM two) GROUP BY publish_date, factor, direction, horizon HAVING count(DISTINCT ts_code) = 2), rk AS (SELECT *, {rank('dx')} AS rx, {rank('dy')} AS ry FROM pr), st AS (SELECT factor, direction, horizon, count(*) AS n_dates, {corr('dx', 'dy')} AS p, {corr('rx', 'ry')} AS s, avg((sign(dx) = sign(dy))::INT::DOUBLE) AS hit FROM rk GROUP BY ALL HAVING count(*) >= 5), bk AS ({buckets('pr', 'dx', 'dy')}) SELECT factor, horizon, n_dates, {_r8('p')} AS spread_corr, {_r8('s')} AS spread_rank_corr, {_r8('hit')} AS rank_hit_rate, {_r8('top')} AS top_bucket_return_spread, {_r8('bottom')} AS bottom_bucket_return_spread, {_r8('top - bottom')} AS top_bottom_spread_gap FROM st JOIN bk USING (factor, direction, horizon)",
+        "ref_a19_direction": f"WITH {_time_series()}, s AS (SELECT factor, horizon, y, x * direction AS g, abs(x * direction) > 1e-12 AS moved FROM lng), t AS (SELECT factor, horizon, count(*) AS a, count(*) FILTER (WHERE moved) AS n_obs, avg((sign(g) = sign(y))::INT::DOUBLE) FILTER (WHERE moved) AS hit, avg((y > 0)::INT::DOUBLE) FILTER (WHERE moved) AS up, avg((y < 0)::INT::DOUBLE) FILTER (WHERE moved) AS down FROM s GROUP BY ALL) SELECT factor, horizon, n_obs, {_r8('hit')} AS raw_direction_hit_rate, {_r8('up')} AS market_up_ratio, {_r8('down')} AS market_down_ratio, {_r8('greatest(up, down)')} AS market_majority_hit_rate, {_r8('hit - greatest(up, down)')} AS excess_hit_rate_vs_market FROM t WHERE a >= 5 AND n_obs >= 5",
         "ref_s3_lenient_lines": "SELECT feed, file_no, count(*) AS objects FROM raw_records WHERE json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT' GROUP BY ALL",
         "ref_f10_study_relevance": f"WITH {_study()} SELECT record_no, primary_ts_code, study_score, study_keep, array_to_string(fin, '|') AS study_finance_hits, array_to_string(neg, '|') AS study_negative_hits, full_name::INT AS study_has_full_name, (NOT full_name AND aliases <> '')::INT AS study_alias_only FROM study",
         "ref_t5_best_per_stock": f"WITH {_study()} SELECT record_no, primary_ts_code, study_score FROM study WHERE study_score >= 4 QUALIFY row_number() OVER (PARTITION BY primary_ts_code ORDER BY study_score DESC, publish_date NULLS FIRST, id NULLS FIRST) <= 20",

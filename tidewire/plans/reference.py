@@ -11,7 +11,7 @@ from tidewire.functions import wordlists as W
 from tidewire.functions.text import clamp, hits, join_bar, number, r4, squeeze, text, title_and_body
 from tidewire.operators import drift, ingest, matching, mentions, profiles, ranking, relevance, returns, selection, validation
 from tidewire.runtime import cut, read_table
-from tidewire.sources.files import universe
+from tidewire.sources.files import quarter_universe, uncovered, universe
 
 
 def _news(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,10 @@ def _universe(spark: SparkSession, d: str) -> DataFrame:
     return universe(read_table(spark, d, "stock_universe"))
 
 
+def _quarter_universe(spark: SparkSession, d: str) -> DataFrame:
+    return quarter_universe(read_table(spark, d, "stock_universe"))
+
+
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
     return profiles.distinct_mentions(read_table(spark, d, "article_mentions", spread=True))
 
@@ -58,8 +62,8 @@ def ref_p8_raw_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_s3_lenient_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "raw_records").withColumn("v", F.try_parse_json("payload"))
-    return rows.where("v is not null and schema_of_variant(v) like 'OBJECT%'").groupBy("feed", "file_no").agg(F.count(F.lit(1)).alias("objects"))
+    footers = drift.file_footers(read_table(spark, d, "raw_records"))
+    return footers.where("field is null and objects > 0").select("feed", "file_no", "objects")
 
 
 def ref_p10_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -107,11 +111,12 @@ def ref_f10_study_relevance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_f12_alias_hits(spark: SparkSession, d: str) -> DataFrame:
-    return matching.alias_hits(_news(spark, d), "record_no", title_and_body(limit=1600), _universe(spark, d)).select(F.col("_key").alias("record_no"), "ts_code", "squeezed").distinct()
+    found = matching.alias_hits(_news(spark, d), "record_no", title_and_body(limit=1600), _quarter_universe(spark, d)).where("leading")
+    return found.select(F.col("_key").alias("record_no"), "ts_code", "squeezed").distinct()
 
 
 def ref_f13_quarter_match(spark: SparkSession, d: str) -> DataFrame:
-    return matching.quarter_match(_news(spark, d), _universe(spark, d)).select("record_no", "ts_code", "score", "title_hits", "body_hits", "has_full_name")
+    return matching.quarter_match(_news(spark, d), _quarter_universe(spark, d)).select("record_no", "ts_code", "score", "title_hits", "body_hits", "has_full_name")
 
 
 def ref_j1_coarse_match(spark: SparkSession, d: str) -> DataFrame:
@@ -124,16 +129,18 @@ def ref_j2_record_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_j4_industry(spark: SparkSession, d: str) -> DataFrame:
-    industry = _universe(spark, d).groupBy("ts_code").agg(F.max("industry").alias("industry"))
-    return _profiles(spark, d).select("publish_date", "ts_code").join(industry, "ts_code", "left").select("publish_date", "ts_code", F.coalesce("industry", F.lit("")).alias("industry"))
+    return profiles.with_industry(_profiles(spark, d).select("publish_date", "ts_code"), _universe(spark, d))
 
 
 def ref_j8_uncovered_codes(spark: SparkSession, d: str) -> DataFrame:
-    return _profiles(spark, d).select("ts_code").distinct().join(_prices(spark, d).where("close is not null").select("ts_code").distinct(), "ts_code", "left_anti")
+    """Of the whole universe, whose codes aren't all quoted."""
+    return uncovered(_prices(spark, d).where("close is not null and trade_date < date'2023-10-04'"), _universe(spark, d))
 
 
 def ref_d1_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.dedup_in_file(_news(spark, d), ["record_no"]).select("record_no", "id")
+    key = ingest.surrogate_id(F.col("raw_source_file"), "record_no", F.col("title"), F.col("publish_time"))
+    news = _news(spark, d).withColumn("id", F.when(text("id") != "", text("id")).otherwise(key))
+    return ingest.dedup_in_file(news, ["record_no"]).select("record_no", "id")
 
 
 def ref_d2_dedup_across_files(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +255,9 @@ def _ranked(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def ref_a11_ranking_summary(spark: SparkSession, d: str) -> DataFrame:
     ranked = ranking.rank_stocks(_profiles(spark, d), ranking.preset("optimized"), 5)
-    return ranked.groupBy("publish_date").agg(F.count_distinct("ts_code").alias("stocks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("selected_topk") == 1, F.struct("rank_in_date", "ts_code")))), lambda x: x["ts_code"]), "|").alias("selected"))
+    summary = ranking.summarise(cut(ranked), ranking.preset("optimized"), 5)
+    days = [(x["publish_date"], x["selected_count"], "|".join(s["ts_code"] for s in x["selected_stocks"]), summary["date_count"], summary["stock_count"], float(summary["avg_cross_section_size"])) for x in summary["topk_by_date"]]
+    return spark.createDataFrame(days, "publish_date string, selected_count long, selected string, dates long, stocks long, mean_size double")
 
 
 def ref_w7_forward_returns(spark: SparkSession, d: str) -> DataFrame:
@@ -291,7 +300,10 @@ def ref_a17_time_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_a18_cross_section(spark: SparkSession, d: str) -> DataFrame:
-    return validation.cross_section(cut(_validation_panel(spark, d)))
+    """The two stocks with the most profiles that have a return (ties by code), as a cross-section is a pair of stocks."""
+    panel = cut(_validation_panel(spark, d))
+    pair = [r[0] for r in panel.where("fwd_return_1d is not null and not isnan(fwd_return_1d)").groupBy("ts_code").count().orderBy(F.desc("count"), "ts_code").limit(2).collect()]
+    return validation.cross_section(panel.where(F.col("ts_code").isin(pair)))
 
 
 def ref_a19_direction(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +326,7 @@ def ref_t6_daily_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def ref_t7_heap_topk(spark: SparkSession, d: str) -> DataFrame:
     news = _news(spark, d)
-    dated = matching.quarter_match(news, _universe(spark, d)).join(news.select("record_no", "publish_date"), "record_no").where("publish_date <> ''")
+    dated = matching.quarter_match(news, _quarter_universe(spark, d)).join(news.select("record_no", "publish_date"), "record_no").where("publish_date <> ''")
     return selection.heap_topk(dated).select("record_no", "publish_date", "ts_code", "score", "place_in_day")
 
 

@@ -108,9 +108,14 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
     return frame.select(F.expr("try_cast(trade_date as date)").alias("trade_date"), *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in numbers], *[c for c in ("ts_code", "stock_name") if c in frame.columns])
 
 
+def uncovered(prices: DataFrame, codes: DataFrame) -> DataFrame:
+    """The codes that a price table lacks."""
+    return codes.select("ts_code").distinct().join(prices.select("ts_code").distinct(), "ts_code", "left_anti")
+
+
 def covers(prices: DataFrame, codes: DataFrame) -> bool:
     """Whether a price table has every code."""
-    return codes.select("ts_code").distinct().join(prices.select("ts_code").distinct(), "ts_code", "left_anti").isEmpty()
+    return uncovered(prices, codes).isEmpty()
 
 
 def quote_id(code: Column) -> Column:
