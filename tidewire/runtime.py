@@ -107,7 +107,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def tasks_for(spark: SparkSession, *frames: DataFrame, task_bytes: int = 32 << 20) -> int:
     """Tasks for the rows of ``frames`` together by the planner's estimate of their bytes, without a pass over them; at least the session's shuffle partitions."""
-    size = sum(int(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for f in frames)
+    size = sum(int(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for f in frames)
     return max(shuffle_partitions(spark), min(100_000, -(-size // task_bytes)))
 
 
