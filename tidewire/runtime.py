@@ -105,10 +105,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def tasks_for(spark: SparkSession, *frames: DataFrame, task_bytes: int = 32 << 20) -> int:
-    """Tasks for the rows of ``frames`` together by the planner's estimate of their bytes, without a pass over them; at least the session's shuffle partitions."""
-    size = sum(int(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for f in frames)
-    return max(shuffle_partitions(spark), min(100_000, -(-size // task_bytes)))
+def tasks_for(df: DataFrame, task_bytes: int = 32 << 20, task_rows: int = 500_000) -> int:
+    """Tasks for the rows of ``df`` by the planner's estimate of their bytes, or by counting them where it has none; at least the session's shuffle partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # the planner's word for a table of unknown size is larger
+    return max(shuffle_partitions(df.sparkSession), -(-size // task_bytes) if known else -(-df.count() // task_rows))
 
 
 def bench_dir() -> str:
