@@ -93,8 +93,18 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert alone.where("matched_time is not null").count() == 0 and alone.count() == 400
 
 
-def test_prefix_scan():
-    later = lambda a, b: b if b is not None else a
-    items = [1, None, 2, None, None, 3, None]
-    assert nearest_time.prefix_scan(items, later) == [None, 1, 1, 2, 2, 2, 3]
-    assert nearest_time.prefix_scan([], later) == [None]
+def test_prefix_scan_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest_time, "SCAN_BLOCK", 3)
+    r = random.Random(3)
+    rows = [(p, *(("e", p * 10, f"f{p}", "e", p * 10 + 5, f"l{p}") if r.random() < 0.4 else (None,) * 6)) for p in range(20)]
+    got = {x.pid: (x.before and x.before.pick, x.after and x.after.pick) for x in nearest_time.carried(spark.createDataFrame(rows, nearest_time.EDGE)).collect()}
+    full = [p for p, *rest in rows if rest[0]]
+    assert got == {p: (next((f"l{q}" for q in reversed(full) if q < p), None), next((f"f{q}" for q in full if q > p), None)) for p in range(20)}
+
+
+def test_runs_out_of_order_are_sorted_again():
+    import pyarrow as pa
+
+    run = pa.table({"g": ["a", "a", "b"], "s": [2.0, 1.0, 5.0], "t": ["x", None, "y"]})
+    assert top_runs._in_order(run, ["g"], "s", ["t"]) is run
+    assert top_runs._in_order(run.take([2, 1, 0]), ["g"], "s", ["t"]).equals(run)

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,19 +126,18 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", s
     placed = placed.join(F.broadcast(extra), ["_source", "_key", "_chance", "n_tokens"], "left")
     copies = F.col("_full") + (F.col("_part") | F.col("_extra").isNotNull()).cast("int")
     chosen = placed.withColumn("_copies", copies).where("_copies > 0")
-    chosen = cut(chosen.select("_key", "_source", "n_tokens", "_block", "_blocks", "_chance", F.explode(F.sequence(F.lit(1), "_copies")).alias("copy_no")))
-    units = {r["_source"]: (r["u"], r["n"]) for r in chosen.groupBy("_source").agg(F.max((F.col("copy_no") - 1) * F.col("_blocks") + F.col("_block") + 1).alias("u"), F.count(F.lit(1)).alias("n")).collect()}
-    shards = shards or max(8, -(-sum(n for _, n in units.values()) // SHARD_ROWS))
-    names = [s for s in names if s in units]
-    deal = splitting_tree([units[s][0] for s in names], shards, seed).cumsum(axis=0)
-    lots = []
-    for i, s in enumerate(names):
-        n = units[s][0]
-        step = next(a for a in range(max(1, int(n * 0.618)), n + 2) if math.gcd(a, n) == 1)
-        lots.append((s, n, step, [int(x) for x in deal[:-1, i]]))
-    table = spark.createDataFrame(lots, "_source string, _units long, _step long, _upto array<long>")
-    unit = F.pmod(((F.col("copy_no") - 1) * F.col("_blocks") + F.col("_block")) * F.col("_step"), F.col("_units"))
-    dealt = chosen.join(F.broadcast(table), "_source").withColumn("_unit", unit).withColumn("shard", F.aggregate("_upto", F.lit(0), lambda a, x: a + (x <= F.col("_unit")).cast("int")))
+    chosen = cut(chosen.select("_key", "_source", "n_tokens", "_block", F.explode(F.sequence(F.lit(1), "_copies")).alias("copy_no")))
+    # units are the blocks that have rows, for each copy; a source has copies x MOST_BLOCKS of them at most, in an order given by a hash
+    mixed = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed + 2), "copy_no", "_block"), "copy_no", "_block")
+    units = cut(chosen.groupBy("_source", "copy_no", "_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_unit", F.row_number().over(mixed) - 1))
+    sizes = {r["_source"]: (r["u"], r["n"]) for r in units.groupBy("_source").agg(F.count(F.lit(1)).alias("u"), F.sum("_n").alias("n")).collect()}
+    shards = shards or max(8, -(-sum(n for _, n in sizes.values()) // SHARD_ROWS))
+    names = [s for s in names if s in sizes]
+    upto = splitting_tree([sizes[s][0] for s in names], shards, seed).cumsum(axis=0)
+    deal = pd.DataFrame({"_source": np.repeat(names, shards), "shard": np.tile(np.arange(shards, dtype=np.int32), len(names)), "_to": upto.T.ravel(), "_from": np.vstack([np.zeros((1, len(names)), np.int64), upto[:-1]]).T.ravel()})
+    deal = spark.createDataFrame(deal[deal["_to"] > deal["_from"]], "_source string, shard int, _to long, _from long")  # a row for each shard and source
+    deal = deal.select("_source", "shard", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_unit"))
+    dealt = chosen.join(units.join(deal, ["_source", "_unit"]).select("_source", "copy_no", "_block", "shard"), ["_source", "copy_no", "_block"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "_key", "copy_no"), "_key", "copy_no", "n_tokens")
     return dealt.select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("copy_no").cast("int").alias("copy_no"), "n_tokens", "shard", F.row_number().over(local).alias("place"))
 

@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.runtime import cut, shuffle_partitions
 
 TASK_ROWS = 1_000_000  # rows of one partition of the global sort, about
+SCAN_BLOCK = 1_000  # partitions whose edges one task scans
 
 #: An edge: what a partition tells the others. Entities are compared by their whole text.
 EDGE = "pid int, first_right_entity string, first_right long, first_pick string, last_right_entity string, last_right long, last_pick string"
@@ -35,34 +37,26 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
 
-def prefix_scan(items: list, combine) -> list:
-    """Exclusive scan of an associative ``combine`` in log2(n) sweeps (each sweep's combinations are independent); the first gets None."""
-    scan, step = list(items), 1
-    while step < len(scan):
-        scan = [scan[i] if i < step else combine(scan[i - step], scan[i]) for i in range(len(scan))]
-        step *= 2
-    return [None, *scan[:-1]]
+def carried(edges: DataFrame) -> DataFrame:
+    """For each partition (``pid``) the last right record before it and the first right record after it: ``before, after``.
 
-
-def _later(a, b):
-    return b if b is not None else a
-
-
-def carried(edges: list[dict]) -> dict[int, tuple]:
-    """For each partition the last right record before it and the first right record after it."""
-    edges = sorted(edges, key=lambda e: e["pid"])
-    pick = lambda e, side: (e[f"{side}_right_entity"], e[f"{side}_right"], e[f"{side}_pick"]) if e[f"{side}_right"] is not None else None
-    before = prefix_scan([pick(e, "last") for e in edges], _later)
-    after = prefix_scan([pick(e, "first") for e in reversed(edges)], _later)[::-1]
-    return {e["pid"]: (b, a) for e, b, a in zip(edges, before, after)}
+    A prefix scan in blocks: every block of partitions is scanned by its own task, then the blocks' totals, and what a block's scan lacks comes from these.
+    """
+    side = lambda s: F.when(F.col(f"{s}_right").isNotNull(), F.struct(F.col(f"{s}_right_entity").alias("entity"), F.col(f"{s}_right").alias("t"), F.col(f"{s}_pick").alias("pick")))
+    rows = edges.select("pid", F.floor(F.col("pid") / SCAN_BLOCK).alias("block"), side("first").alias("first"), side("last").alias("last"))
+    up = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumns({"_before": F.last("last", True).over(up("block").orderBy("pid")), "_after": F.last("first", True).over(up("block").orderBy(F.desc("pid")))})
+    totals = rows.groupBy("block").agg(F.max_by("last", F.when(F.col("last").isNotNull(), F.col("pid"))).alias("last"), F.min_by("first", F.when(F.col("first").isNotNull(), F.col("pid"))).alias("first"))
+    over = totals.select("block", F.last("last", True).over(up().orderBy("block")).alias("_far_before"), F.last("first", True).over(up().orderBy(F.desc("block"))).alias("_far_after"))
+    return inside.join(over, "block").select("pid", F.coalesce("_before", "_far_before").alias("before"), F.coalesce("_after", "_far_after").alias("after"))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], edge: dict[int, tuple], tolerance: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], edges: Broadcast, tolerance: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held).combine_chunks()
-    before, after = edge[table.column("_pid")[0].as_py()]
+    before, after = edges.value[table.column("_pid")[0].as_py()]
     n = len(table)
     right = table.column("_side").to_numpy() == 0
     t = table.column("_t").to_numpy()
@@ -79,31 +73,23 @@ def _scan(batches: Iterator[pa.RecordBatch], edge: dict[int, tuple], tolerance:
     far = np.int64(1) << 62
     back_t = np.where(has_back, t[np.maximum(back, 0)], -far)
     ahead_t = np.where(has_ahead, t[np.minimum(ahead, n - 1)], far)
-    pick = table.column("_pick").to_pylist()
-    picks_back, picks_ahead = {}, {}
+    back_at, ahead_at = np.maximum(back, 0), np.minimum(ahead, n - 1)  # places of the picks; n and n + 1 are those from outside
     if before is not None and before[0] == entity[0].as_py():
-        open_ = (code == 1) & ~has_back
-        back_t, has_back = np.where(open_, before[1], back_t), has_back | open_
-        picks_back = {"edge": before[2], "open": open_}
+        outside = (code == 1) & ~has_back
+        back_t, back_at, has_back = np.where(outside, before[1], back_t), np.where(outside, n, back_at), has_back | outside
     if after is not None and after[0] == entity[n - 1].as_py():
-        open_ = (code == code[-1]) & ~has_ahead
-        ahead_t, has_ahead = np.where(open_, after[1], ahead_t), has_ahead | open_
-        picks_ahead = {"edge": after[2], "open": open_}
+        outside = (code == code[-1]) & ~has_ahead
+        ahead_t, ahead_at, has_ahead = np.where(outside, after[1], ahead_t), np.where(outside, n + 1, ahead_at), has_ahead | outside
     lefts = np.flatnonzero(~right)
-    gap_back, gap_ahead = t - back_t, ahead_t - t
-    out_t, out_pick = [], []
-    for i in lefts.tolist():
-        use_ahead = has_ahead[i] and (not has_back[i] or gap_ahead[i] <= gap_back[i])
-        if not (has_ahead[i] or has_back[i]) or (gap_ahead[i] if use_ahead else gap_back[i]) > tolerance:
-            out_t.append(None), out_pick.append(None)
-        elif use_ahead:
-            out_t.append(int(ahead_t[i]))
-            out_pick.append(picks_ahead["edge"] if picks_ahead and picks_ahead["open"][i] else pick[ahead[i]])
-        else:
-            out_t.append(int(back_t[i]))
-            out_pick.append(picks_back["edge"] if picks_back and picks_back["open"][i] else pick[back[i]])
+    has_back, has_ahead, at = has_back[lefts], has_ahead[lefts], t[lefts]
+    gap_back, gap_ahead = np.where(has_back, at - back_t[lefts], far), np.where(has_ahead, ahead_t[lefts] - at, far)
+    use_ahead = has_ahead & (gap_ahead <= gap_back)
+    none = np.minimum(gap_back, gap_ahead) > tolerance
+    picks = pa.concat_arrays([table.column("_pick").combine_chunks().cast(pa.string()), pa.array([before[2] if before else None, after[2] if after else None], pa.string())])
+    out_t = pa.array(np.where(use_ahead, ahead_t[lefts], back_t[lefts]), mask=none)
+    out_pick = picks.take(pa.array(np.where(use_ahead, ahead_at[lefts], back_at[lefts]), mask=none))
     rows = table.take(pa.array(lefts))
-    rows = pa.table([*(rows.column(c) for c in names), pa.array(out_t, pa.int64()), pa.array(out_pick, pa.string())], names=[*names, "_right_t", "_right_pick"])
+    rows = pa.table([*(rows.column(c) for c in names), out_t, out_pick], names=[*names, "_right_t", "_right_pick"])
     yield from rows.combine_chunks().to_batches(max_chunksize=20_000)
 
 
@@ -115,9 +101,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, left_time: C
     rows the later wins; of right rows at one instant the one with the smallest JSON of ``right_keep``. Left rows with null entity or time
     come back unmatched; such right rows do not count. Empty tables and clashing names on either side do no harm.
 
-    Both sides are sorted once by (entity, time) into ranges of about ``TASK_ROWS`` rows and written to the shared folder, so an
-    entity may span many tasks. Each partition then tells its first and last right record; a prefix scan over these few
-    values (one a partition) gives every partition what reaches it from outside, and all left rows are matched locally.
+    Both sides are sorted once by (entity, time) into ranges and written to the shared folder, so an entity may span many
+    tasks. Each partition then tells its first and last right record; a prefix scan over these (one row a partition, see :func:`carried`)
+    gives every partition what reaches it from outside, and all left rows are matched locally.
     """
     spark = left.sparkSession
     keep = left.columns if keep is None else keep
@@ -132,7 +118,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, left_time: C
     tasks = max(shuffle_partitions(spark), -(-(left.count() + right.count()) // TASK_ROWS))
     order = ["_entity", "_t", "_side", "_salt"]
     placed = cut(both.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).drop("_salt"))
-    edge = carried([r.asDict() for r in placed.select("_pid", "_entity", "_t", "_side", "_pick").mapInArrow(_edges, EDGE).collect()])  # one row a partition
+    edges = cut(placed.select("_pid", "_entity", "_t", "_side", "_pick").mapInArrow(_edges, EDGE))
+    edge = spark.sparkContext.broadcast({r["pid"]: (r["before"], r["after"]) for r in carried(edges).collect()})  # one row a partition
     row_type = lefts.schema["_row"].dataType.simpleString()
     matched = placed.mapInArrow(lambda it: _scan(it, edge, tolerance, ["_row"]), f"_row {row_type}, _right_t long, _right_pick string")
     extra = [F.from_json("_right_pick", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in right.select(*right_keep).schema.fields)).alias("matched")] if right_keep else []

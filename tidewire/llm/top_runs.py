@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.runtime import shuffle_partitions
+from tidewire.runtime import tasks_for
 
 RUN_ROWS = 400_000  # rows sorted at once while runs are made
-BUCKET_ROWS = 1_000_000  # rows of all runs of one merging task, at most about
+READ_ROWS = 4_096  # rows of a run whose keys are held at once while runs are merged
 
 
 class LoserTree:
@@ -108,44 +108,72 @@ def _make_runs(batches: Iterator[pa.RecordBatch], groups: list[str], score: str,
         yield from run()
 
 
-def _key_rows(table: pa.Table, groups: list[str], score: str, ties: list[str]) -> list[tuple]:
-    """Comparable keys: groups, falling score, ties (null last)."""
-    columns = [table.column(g).to_pylist() for g in groups] + [[-x for x in table.column(score).to_pylist()]]
-    columns += [[(x is None, x if x is not None else 0) for x in table.column(t).to_pylist()] for t in ties]
-    return list(zip(*columns))
+class Run:
+    """The keys of a sorted run, some rows at a time: groups, falling score, ties (null last)."""
+
+    def __init__(self, table: pa.Table, groups: list[str], score: str, ties: list[str]):
+        self.table, self.columns, self.rows = table, (groups, score, ties), len(table)
+        start = np.flatnonzero(_changes(table, groups))
+        self.ends = np.repeat(np.r_[start[1:], self.rows], np.diff(np.r_[start, self.rows]))
+        self.at, self.low, self.keys = 0, 0, []
+
+    def head(self) -> tuple | None:
+        if self.at >= self.rows:
+            return None
+        if not self.low <= self.at < self.low + len(self.keys):
+            groups, score, ties = self.columns
+            part = self.table.slice(self.at, READ_ROWS)
+            columns = [part.column(g).to_pylist() for g in groups] + [[-x for x in part.column(score).to_pylist()]]
+            columns += [[(x is None, x if x is not None else 0) for x in part.column(t).to_pylist()] for t in ties]
+            self.low, self.keys = self.at, list(zip(*columns))
+        return self.keys[self.at - self.low]
+
+    def seek(self) -> None:
+        """On to the next group."""
+        self.at = int(self.ends[self.at])
 
 
 def merge_runs(runs: list[pa.Table], groups: list[str], score: str, ties: list[str], n: int) -> pa.Table:
     """The first ``n`` different rows of each group over all sorted ``runs``, in order, with their place as ``place``."""
-    keys = [_key_rows(r, groups, score, ties) for r in runs]
-    ends = []
-    for r in runs:
-        start = np.flatnonzero(_changes(r, groups))
-        ends.append(np.repeat(np.r_[start[1:], len(r)], np.diff(np.r_[start, len(r)])).tolist())
-    g, at = len(groups), [0] * len(runs)
-    tree = LoserTree([k[0] if k else None for k in keys])
-    base = np.cumsum([0, *(len(r) for r in runs)])
+    if not runs:
+        return None
+    readers = [Run(r, groups, score, ties) for r in runs]
+    tree = LoserTree([r.head() for r in readers])
+    g, base = len(groups), np.cumsum([0, *(len(r) for r in runs)])
     take, place = [], []
     group, last, count = None, None, 0
-    while runs:
+    while (key := tree.heads[tree.winner()]) is not None:
         run = tree.winner()
-        key = tree.heads[run]
-        if key is None:
-            break
         if key[:g] != group:
             group, last, count = key[:g], None, 0
         if count >= n:
-            at[run] = ends[run][at[run]]  # nothing more of this group is needed: seek to the run's next one
+            readers[run].seek()  # nothing more of this group is needed
         else:
             if key != last:
-                take.append(int(base[run]) + at[run])
+                take.append(int(base[run]) + readers[run].at)
                 count += 1
                 place.append(count)
                 last = key
-            at[run] += 1
-        tree.replay(run, keys[run][at[run]] if at[run] < len(keys[run]) else None)
-    table = pa.concat_tables(runs).take(pa.array(take, pa.int64())) if runs else None
-    return None if table is None else table.append_column("place", pa.array(place, pa.int32()))
+            readers[run].at += 1
+        tree.replay(run, readers[run].head())
+    return pa.concat_tables(runs).take(pa.array(take, pa.int64())).append_column("place", pa.array(place, pa.int32()))
+
+
+def _in_order(run: pa.Table, groups: list[str], score: str, ties: list[str]) -> pa.Table:
+    """A run as it was stored: the shuffle hands on each task's rows in their order, which is looked at here; a run that isn't in order is sorted again."""
+    open_ = np.ones(max(len(run) - 1, 0), bool)  # neighbours that are equal so far
+    for c, falling in [*((g, False) for g in groups), (score, True), *((t, False) for t in ties)]:
+        x = run.column(c).combine_chunks()
+        a, b = x.slice(0, len(open_)), x.slice(1)
+        if falling:
+            a, b = b, a
+        null_a, null_b = pc.is_null(a).to_numpy(zero_copy_only=False), pc.is_null(b).to_numpy(zero_copy_only=False)
+        less = pc.fill_null(pc.less(a, b), False).to_numpy(zero_copy_only=False) | (~null_a & null_b)
+        same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False) | (null_a & null_b)
+        if (open_ & ~less & ~same).any():
+            return _sorted(run, groups, score, ties)
+        open_ &= same
+    return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch], groups: list[str], score: str, ties: list[str], n: int) -> Iterator[pa.RecordBatch]:
@@ -159,8 +187,7 @@ def _merge(batches: Iterator[pa.RecordBatch], groups: list[str], score: str, tie
     table = table.drop_columns(["_run"])
     runs = []
     for part in np.split(order, cuts):
-        piece = _sorted(table.take(pa.array(part)), groups, score, ties)  # the shuffle keeps a run's order, but doesn't promise to
-        runs.append(piece)
+        runs.append(_in_order(table.take(pa.array(part)), groups, score, ties))
     yield from merge_runs(runs, groups, score, ties, n).combine_chunks().to_batches(max_chunksize=20_000)
 
 
@@ -173,7 +200,8 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list[str
 
     Each input task sorts what it reads into runs and keeps ``n`` rows of a group in each, so a group with a third of
     all rows leaves a task with ``n`` rows; only those are shuffled, bucketed by group. A bucket's task merges its runs
-    with a loser tree and, after ``n`` outputs, seeks every run to its next group. The number of buckets follows the table's size.
+    with a loser tree and, after ``n`` outputs, seeks every run to its next group. As runs are cut to ``n`` rows a group before they travel, a
+    seek passes over fewer than ``n`` rows of each run. The number of buckets follows the planner's estimate of the table's size.
     """
     columns = list(dict.fromkeys([*groups, score, *ties, *(payload or [])]))
     present = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
@@ -183,8 +211,7 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list[str
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     runs = rows.mapInArrow(lambda it: _make_runs(it, groups, score, ties, n), schema + ", `_run` long")
-    buckets = max(shuffle_partitions(df.sparkSession), -(-df.count() // BUCKET_ROWS))
-    return runs.repartition(buckets, *groups).mapInArrow(lambda it: _merge(it, groups, score, ties, n), schema + ", place int")
+    return runs.repartition(tasks_for(rows), *groups).mapInArrow(lambda it: _merge(it, groups, score, ties, n), schema + ", place int")
 
 
 def top_n_window(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int) -> DataFrame:
