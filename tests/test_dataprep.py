@@ -119,3 +119,19 @@ def test_unified_news(spark):
 
 def test_rename_needs_the_same_meaning(spark):
     assert _changes(spark, [[{"id": "1", "a": 1}], [{"headline": "1", "b": 1}]]) == [(2, "added", "", "b"), (2, "added", "", "headline"), (2, "removed", "a", ""), (2, "removed", "id", "")]
+
+
+def test_casts_from_the_catalogue(spark):
+    lines = [("f", 1, json.dumps({"id": 7, "n": 5, "ok": True, "tags": ["a", "b"], "a.b": 1})), ("f", 1, json.dumps({"id": "x", "n": 6.5, "ok": False, "tags": "c", "N": None})), ("f", 2, json.dumps({"n": "7", "ok": "perhaps", "x": {"y": 1}})), ("f", 2, json.dumps({"n": "many", "ok": True})), ("f", 2, "{cut"), ("f", 2, None)]
+    raw = spark.createDataFrame(lines, "feed string, file_no int, payload string")
+    footers = drift.file_footers(raw)
+    assert {(r.field, r.target) for r in drift.cast_plan(footers).collect()} == {("n", "string"), ("ok", "boolean"), ("tags", "string"), ("x.y", "number"), ("a.b", "number")}
+    table = drift.typed_news(raw, footers, keep=("feed", "file_no"))
+    got = {r.id or f"n{r.x_n}": r for r in table.collect()}
+    assert dict(table.dtypes)["x_ok"] == "boolean" and dict(table.dtypes)["x_x_y"] == "double"
+    assert got["7"].x_ok is True and got["7"].x_a_b == 1.0 and got["7"].extras == {}
+    failed = next(r for r in got.values() if r.x_x_y == 1.0)
+    assert failed.x_ok is None and failed.extras == {"ok": "perhaps"}
+    report = {r.field: (r.target, r.given, r.cast_values, r.failed) for r in drift.cast_report(raw, footers).collect()}
+    assert report["ok"] == ("boolean", 4, 1, 1)
+    assert drift.typed_news(raw.limit(0), drift.file_footers(raw.limit(0)), keep=()).count() == 0

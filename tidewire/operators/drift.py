@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.runtime import cut
@@ -149,6 +149,11 @@ def _text(value: Any) -> str:
     return "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
+def _extra(value: Any) -> str:
+    """As :func:`_text`, but a list stays JSON, so that a cast can take it apart."""
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, list) else _text(value)
+
+
 _RANK = {name: (c, i) for c, names in ALIASES.items() for i, name in enumerate([*names, *(f"{w}.{a}" for w in WRAPPERS for a in names)])}
 TABLE = ", ".join(f"{c} string" for c in ALIASES) + ", extras map<string,string>"
 
@@ -165,11 +170,10 @@ def _canonical_rows(batches: Iterator[pa.RecordBatch], passed: int) -> Iterator[
             best: dict[str, tuple[int, str]] = {}
             extras = {}
             for path, value in flatten(found):
-                text = _text(value)
                 ranked = _RANK.get(path.lower())
                 if ranked is None:
-                    extras[path] = text
-                elif text and ranked[1] < best.get(ranked[0], (1 << 30, ""))[0]:
+                    extras[path] = _extra(value)
+                elif (text := _text(value)) and ranked[1] < best.get(ranked[0], (1 << 30, ""))[0]:
                     best[ranked[0]] = (ranked[1], text)
             for c in ALIASES:
                 out[c].append(best[c][1] if c in best else None)
@@ -182,10 +186,66 @@ def unified_news(raw: DataFrame, payload: str = "payload", keep: tuple[str, ...]
     """All payloads that are objects as one table: ``keep``, the canonical news fields as text, and the other fields in ``extras``.
 
     A canonical field takes the first of its aliases with content; lists are joined with blanks, numbers and
-    booleans become text, so a field that changes type keeps one type here. Lines that are no object are left out;
+    booleans become text, so a field that changes type keeps one type here. In ``extras`` lists stay JSON (see :func:`typed_news` for columns of their own types). Lines that are no object are left out;
     a missing, null or empty field is null.
     """
     fields = [f for c in keep for f in raw.schema.fields if f.name == c]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + TABLE
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), TABLE])
     n = len(fields)
     return raw.select(*[f.name for f in fields], payload).mapInArrow(lambda it: _canonical_rows(it, n), schema)
+
+
+def cast_plan(footers: DataFrame) -> DataFrame:
+    """``field, target``: the type that each catalogued field outside the alias table is cast to, that of most of its values over all files (canonical fields are text).
+
+    A field is catalogued if a file of some feed has it by HELD_SHARE; lone misfits are not.
+    """
+    canonical = footers.sparkSession.createDataFrame([(a,) for a in sorted(CANONICAL)], "alias string")
+    own = footers.where("field is not null").join(F.broadcast(canonical), F.lower("field") == F.col("alias"), "left_anti")
+    files = footers.where("field is null").select("feed", "file_no", F.col("objects").alias("in_file"))
+    kept = own.join(files, ["feed", "file_no"]).where(F.col("held") * HELD_SHARE >= F.col("in_file")).select("field").distinct()
+    totals = own.join(kept, "field", "left_semi").groupBy("field").agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS])
+    most = F.greatest(*[F.col(f"n_{k}") for k in KINDS])
+    return totals.select("field", F.coalesce(*[F.when(F.col(f"n_{k}") == most, F.lit(k)) for k in KINDS]).alias("target"))
+
+
+def _cast(text: Column, target: str) -> Column:
+    """The generated cast of a raw text; null where it fails."""
+    if target == "number":
+        return text.try_cast("double")
+    if target == "boolean":
+        return text.try_cast("boolean")
+    if target == "array":
+        return F.when(text.isNotNull(), F.coalesce(F.from_json(text, "array<string>"), F.array(text)))
+    return text
+
+
+def typed_news(raw: DataFrame, footers: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ("record_no", "feed", "file_no", "line_no")) -> DataFrame:
+    """:func:`unified_news` with a typed column ``x_<field>`` for every field of :func:`cast_plan` (number: double, array: array<string>).
+
+    What no cast takes stays in ``extras`` as it was sent: values whose cast fails, and fields outside the catalogue. The plan is a row a field, and as such bounded by a table's width.
+    """
+    plan = sorted((r.field, r.target) for r in cast_plan(footers).collect())
+    rows = unified_news(raw, payload, keep)
+    columns: dict[str, tuple[str, Column]] = {}
+    for field, target in plan:
+        name = "x_" + field.replace(".", "_")
+        while name.lower() in {c.lower() for c in columns}:
+            name += "_"
+        columns[name] = field, _cast(F.col("extras").getItem(field), target)
+    if not columns:
+        return rows
+    rows = rows.withColumns({name: cast for name, (_, cast) in columns.items()})
+    took = F.array_compact(F.array(*[F.when(F.col(f"`{name}`").isNotNull(), F.lit(field)) for name, (field, _) in columns.items()]))
+    return rows.withColumn("extras", F.map_filter("extras", lambda k, v: ~F.array_contains(took, k)))
+
+
+def cast_report(raw: DataFrame, footers: DataFrame, payload: str = "payload") -> DataFrame:
+    """``field, target, given, cast_values, failed``: for each cast of the plan the values it was given, those of another type, and those it could not take."""
+    plan = cast_plan(footers)
+    given = footers.where("field is not null").groupBy("field").agg(F.sum("held").alias("given"), *[F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS])
+    same = F.coalesce(*[F.when(F.col("target") == k, F.col(f"n_{k}")) for k in KINDS])
+    values = unified_news(raw, payload, ()).select(F.explode("extras").alias("field", "text"))
+    failed = F.when(F.col("target") == "number", _cast(F.col("text"), "number").isNull()).when(F.col("target") == "boolean", _cast(F.col("text"), "boolean").isNull()).otherwise(False)
+    counts = values.join(plan, "field").groupBy("field").agg(F.count_if(failed).alias("failed"))
+    return plan.join(given, "field").join(counts, "field", "left").select("field", "target", "given", (F.col("given") - same).alias("cast_values"), F.coalesce("failed", F.lit(0)).alias("failed"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import drift, instants, rolling
+from tidewire.plans import json_oracles
 from tidewire.runtime import read_table
 
 
@@ -38,7 +39,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_news(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.unified_news(read_table(spark, folder, "raw_records"))
+    news = drift.unified_news(read_table(spark, folder, "raw_records"))
+    return news.withColumn("further_fields", F.size("extras")).drop("extras")
+
+
+def p7_typed_news(spark: SparkSession, folder: str) -> DataFrame:
+    raw = read_table(spark, folder, "raw_records")
+    return drift.typed_news(raw, drift.file_footers(raw))
+
+
+def p7_casts(spark: SparkSession, folder: str) -> DataFrame:
+    raw = read_table(spark, folder, "raw_records")
+    return drift.cast_report(raw, drift.file_footers(raw))
 
 
 def p7_lifespans(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +58,7 @@ def p7_lifespans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [p3_found, p5_found, p5_totals, p7_found, p7_news, p7_lifespans]}
+    return {f.__name__: f for f in [p3_found, p5_found, p5_totals, p7_found, p7_news, p7_typed_news, p7_casts, p7_lifespans]}
 
 
 _ROLLING = """
@@ -64,7 +76,7 @@ _ROLLING = """
 
 def oracle_sql() -> dict[str, str]:
     value = lambda c, w: f"CAST({c}{w} AS DOUBLE) / 10000 AS {c}_total_{w}d, CAST({c}{w} AS DOUBLE) / {w}0000 AS {c}_avg_{w}d"
-    return {
+    return json_oracles.oracle_sql() | {
         "p5_found": _ROLLING + "SELECT ts_code, strftime(day, '%Y-%m-%d') AS day FROM totals WHERE shock7 >= 15000 AND net30 <= -20000",
         "p5_totals": _ROLLING + "SELECT ts_code, strftime(day, '%Y-%m-%d') AS day, " + ", ".join(value(c, w) for c in ("net", "shock") for w in (7, 30)) + " FROM totals",
     }
