@@ -144,6 +144,38 @@ def test_pipeline_and_command_line(spark, corpus, stocks, tmp_path):
     assert _parser().parse_args(["baseline", "--news", "n", "--universe", "u", "--out", "o", "--keyword", "a", "--keyword", "b"]).keyword == ["a", "b"]
 
 
+def test_texts_are_read_longest_first(spark, stocks):
+    """A text with only a longer name is none of a stock that has part of it as an alias."""
+    nested = files.quarter_universe(spark.createDataFrame([("a", "平安银行", "x", "平安银行"), ("b", "平安", "y", "平安集团"), ("c", "银行业", "z", "")], "ts_code string, name string, industry string, aliases string"))
+    news = spark.createDataFrame([(1, "平安银行净利润", "业绩预告"), (2, "平安银行与平安 净利润", "业绩"), (3, "净利润", "平安银 行业绩"), (4, None, None)], "record_no int, title string, body string")
+    got = {(r.record_no, r.ts_code) for r in matching.quarter_match(news, nested).collect()}
+    assert got == {(1, "a"), (2, "a"), (2, "b"), (3, "a")}
+    assert matching.leading("abcab", [(1, "ab"), (2, "abc"), (4, "ab"), (4, "cab")]) == {"abc", "ab"}
+    assert {(r.record_no, r.ts_code) for r in matching.coarse_match(news, nested).collect()} >= {(1, "b")}
+
+
+def test_quarter_set_and_batches(spark, corpus, tmp_path):
+    raw = spark.createDataFrame([(json.dumps({"id": i, "title": t, "content": "业绩预告 净利润", "date": d, "language": "zh"}, ensure_ascii=False), "f", n) for n, (i, t, d) in enumerate([("x", "宁德时代 净利润", "2023-11-01"), ("x", "宁德时代 再来", "2023-11-01"), ("y", "宁德时代", "2023-11-01"), ("z", "宁德时代", "2022-11-01"), ("w", "无关", "2023-11-01")])], "payload string, raw_source_file string, line_no int")
+    stocks = files.quarter_universe(spark.createDataFrame([("300750.SZ", "宁德时代", "电池", "宁王")], "ts_code string, name string, industry string, aliases string"))
+    best, counts = pipeline.quarter_candidates(raw, stocks, "2023-10-01", "2023-12-31")
+    assert [r.id for r in best.orderBy("id").collect()] == ["x__300750.SZ", "y__300750.SZ"] and counts["matched_articles"] == 2 and counts["days_by_stock"] == {"300750.SZ": 1}
+    news = pipeline.load_news(spark, str(corpus), ["zh"], limit=2)
+    assert news.count() == 2
+    sinks.write_batches(pipeline.load_news(spark, str(corpus), ["zh"]), ["raw_source_file", "line_no"], f"{tmp_path}/b", 3)
+    for status in ("done", "skipped"):
+        done = pipeline.run_batches(spark, f"{tmp_path}/b", files.read_universe(spark, str(corpus / "universe.tsv")), f"{tmp_path}/o")
+        assert [d["status"] for d in done] == [status, status]
+    with pytest.raises(Exception, match="no JSON object"):
+        files.only_objects(files.read_raw_news(spark, str(corpus / "a.jsonl"))).collect()
+    sinks.write_summary(spark, {"a": 1}, f"{tmp_path}/s.json")
+    assert json.loads((tmp_path / "s.json").read_text()) == {"a": 1}
+
+
+def test_study_files_keep_their_columns(spark):
+    frame = spark.createDataFrame([(1.0, "x")], "study_score double, study_finance_hits string")
+    assert sinks.to_study_file(frame).columns == ["thesis_relevance_score", "thesis_finance_hits"] and sinks.from_study_file(sinks.to_study_file(frame)).columns == frame.columns
+
+
 def test_stream(spark, corpus, tmp_path):
     out, checkpoint = f"{tmp_path}/out", f"{tmp_path}/checkpoint"
     for _ in range(2):  # nothing is read twice

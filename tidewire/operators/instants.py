@@ -228,5 +228,7 @@ def normalise_instants(records: DataFrame, sources: DataFrame, when: str = "publ
         .drop("_src", "_tz", "_ord")
     )
     has_case = (F.col("when_text") != "") | (F.col("day_text") != "")
+    # rows without a case have no key in common: a key of their own spreads them over the join's tasks
+    keyed = keyed.withColumn("_spread", F.when(has_case, 0).otherwise(F.pmod(F.xxhash64(*records.columns), F.lit(65_536)).cast("int")))
     dictionary = extend_dictionary(spark, keyed.where(has_case).select(*KEY).distinct(), dictionary_path or fresh_path(spark, "instants"))
-    return keyed.join(dictionary, on=KEY, how="left").select(*[c for c in records.columns if c != "utc_second"], "utc_second")
+    return keyed.join(dictionary.withColumn("_spread", F.lit(0)), on=[*KEY, "_spread"], how="left").select(*[c for c in records.columns if c != "utc_second"], "utc_second")

@@ -86,7 +86,8 @@ def extract_json(reply: str) -> dict | None:
 
 
 def prompt_lines(candidates: list[dict]) -> str:
-    return "\n".join(f"- {c['ts_code']} | {c['name']} | 行业:{c['industry']} | 命中别名:{'、'.join(c['matched_aliases'])}" for c in candidates)
+    """The candidates for a model, a JSON object a line."""
+    return "\n".join(json.dumps({k: c[k] for k in ("ts_code", "name", "industry", "matched_aliases")}, ensure_ascii=False) for c in candidates)
 
 
 def model_mentions(news: DataFrame, candidates: DataFrame, ask: Callable[[str, str, str], str], key: str = "record_no", body_limit: int = 1600) -> tuple[DataFrame, DataFrame]:

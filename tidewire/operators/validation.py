@@ -110,12 +110,19 @@ def direction(panel: DataFrame, factors: dict[str, int] = FACTORS) -> DataFrame:
     return stats.select("factor", "horizon", "n_obs", _r(F.col("hit")).alias("raw_direction_hit_rate"), _r(F.col("up")).alias("market_up_ratio"), _r(F.col("down")).alias("market_down_ratio"), _r(best).alias("market_majority_hit_rate"), _r(F.col("hit") - best).alias("excess_hit_rate_vs_market"))
 
 
-def validation_report(times: DataFrame, directions: DataFrame) -> str:
-    """Markdown: the five best factors by gap, then by hit rate (ten rows reach the driver)."""
+def validation_report(times: DataFrame, directions: DataFrame, pairs: DataFrame | None = None, most: int = 5) -> str:
+    """Markdown: for each horizon the best factors by gap, the best by hit rate, and the best of pairs (``most`` rows of each reach the driver)."""
     pct = lambda x: "NA" if x is None else f"{x * 100:.2f}%"
-    best = times.orderBy(F.desc_nulls_last("expected_top_bottom_gap"), F.desc_nulls_last("pearson_corr"), "factor", "horizon").limit(5).collect()
-    hit = directions.orderBy(F.desc("raw_direction_hit_rate"), "factor", "horizon").limit(5).collect()
-    lines = ["# Factor validation", "", "| factor | horizon | Pearson | Spearman | gap |", "| --- | --- | --- | --- | --- |"]
-    lines += [f"| {r['factor']} | {r['horizon']}D | {r['pearson_corr']} | {r['spearman_corr']} | {pct(r['expected_top_bottom_gap'])} |" for r in best]
-    lines += ["", "| factor | horizon | hit rate | excess |", "| --- | --- | --- | --- |"]
-    return "\n".join(lines + [f"| {r['factor']} | {r['horizon']}D | {pct(r['raw_direction_hit_rate'])} | {pct(r['excess_hit_rate_vs_market'])} |" for r in hit]) + "\n"
+    lines = ["# Factor validation"]
+
+    def table(heading: str, frame: DataFrame, order: list, columns: dict[str, bool]) -> None:
+        rows = frame.orderBy(*order, "factor", "horizon").limit(most).collect()
+        lines.extend(["", f"## {heading}", "", "| factor | horizon | " + " | ".join(columns) + " |", "| --- " * (len(columns) + 2) + "|"])
+        lines.extend(f"| {r['factor']} | {r['horizon']}D | " + " | ".join(pct(r[c]) if share else str(r[c]) for c, share in columns.items()) + " |" for r in rows)
+
+    for h in reversed(HORIZONS):
+        table(f"Over time, {h} days on", times.where(F.col("horizon") == h), [F.desc_nulls_last("expected_top_bottom_gap"), F.desc_nulls_last("pearson_corr")], {"pearson_corr": False, "spearman_corr": False, "expected_top_bottom_gap": True})
+    if pairs is not None:
+        table("Between two stocks", pairs, [F.desc_nulls_last("spread_corr"), F.desc("rank_hit_rate")], {"spread_corr": False, "rank_hit_rate": True, "top_bottom_spread_gap": True})
+    table("Direction", directions, [F.desc("raw_direction_hit_rate")], {"raw_direction_hit_rate": True, "excess_hit_rate_vs_market": True})
+    return "\n".join(lines) + "\n"

@@ -31,6 +31,18 @@ def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFI
     return sorted(found)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def list_folders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Folders right below ``path`` whose names start with ``prefix``, in name order."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().toString() for f in found if f.isDirectory() and f.getPath().getName().startswith(prefix))
+
+
 def _payload(frame: DataFrame) -> DataFrame:
     """Rows of a typed table as JSON objects, with their file and number in it."""
     numbered = frame.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in frame.columns])).alias("payload"), F.col("_metadata.file_path").alias("raw_source_file"), F.monotonically_increasing_id().alias("_at"))
@@ -73,6 +85,14 @@ def read_raw_news(spark: SparkSession, path: str, skip_parts: tuple[str, ...] =
     return reduce(DataFrame.unionByName, [x.select("payload", "raw_source_file", F.col("line_no").cast("int").alias("line_no")) for x in frames])
 
 
+def only_objects(raw: DataFrame) -> DataFrame:
+    """The strict way to read JSON lines: a line that is no object is an error as soon as it is read. Blank lines are left out."""
+    parsed = F.try_parse_json("payload")
+    good = parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
+    message = F.concat(F.lit("no JSON object: "), F.coalesce("raw_source_file", F.lit("")), F.lit(" line "), F.col("line_no").cast("string"))
+    return raw.where(F.trim("payload") != "").withColumn("payload", F.when(good, F.col("payload")).otherwise(F.raise_error(message).cast("string")))
+
+
 def universe(frame: DataFrame, separators: str | None = None) -> DataFrame:
     """``ts_code, name, industry, aliases`` (an array) from a table with one of the known names for each.
 

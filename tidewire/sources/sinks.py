@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,13 +17,17 @@ def write_csv(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_split(decided: DataFrame, keep: str, kept_path: str, rejected_path: str | None = None, by: str | None = None) -> dict[str, Any]:
-    """Rows by a boolean column into two outputs, and their counts (by a key, too)."""
+def write_split(decided: DataFrame, keep: str, kept_path: str, rejected_path: str | None = None, by: str | None = None, total: int | None = None) -> dict[str, Any]:
+    """Rows by a boolean column into two outputs, and their counts (by a key, too). ``total`` counts what was read, unusable lines included, which then are rejected ones."""
+    from tidewire.runtime import cut
+
+    decided = cut(decided)
     write_json_lines(decided.where(F.col(keep)).drop(keep), kept_path)
     if rejected_path:
         write_json_lines(decided.where(~F.coalesce(F.col(keep), F.lit(False))).drop(keep), rejected_path)
     n = decided.agg(F.count(F.lit(1)).alias("total"), F.count_if(keep).alias("kept")).first()
-    out = {"total": n["total"], "kept": n["kept"], "rejected": n["total"] - n["kept"]}
+    total = n["total"] if total is None else total
+    out = {"total": total, "kept": n["kept"], "rejected": total - n["kept"]}
     if by:
         out["counts_by_stock"] = {r[0]: r[1] for r in decided.where(F.col(keep)).groupBy(by).count().orderBy(by).collect()}
     return out
@@ -57,23 +61,56 @@ def percent(x: Any) -> str:
         return "NA"
 
 
-def write_summary(summary: dict[str, Any], path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(summary, f, ensure_ascii=False, indent=2, default=str)
+def write_text(spark: SparkSession, content: str, path: str) -> None:
+    """A small text at any path that the session's file systems know."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_summary(spark: SparkSession, summary: dict[str, Any], path: str) -> None:
+    write_text(spark, json.dumps(summary, ensure_ascii=False, indent=2, default=str), path)
+
+
+#: The columns of study files as other tools write and read them.
+STUDY_COLUMNS = {
+    "study_score": "thesis_relevance_score", "study_finance_hits": "thesis_finance_hits", "study_stock_hits": "thesis_stock_hits",
+    "study_negative_hits": "thesis_negative_hits", "study_has_full_name": "thesis_has_full_name", "study_alias_only": "thesis_alias_only",
+}
+
+
+def to_study_file(frame: DataFrame) -> DataFrame:
+    return frame.withColumnsRenamed(STUDY_COLUMNS)
+
+
+def from_study_file(frame: DataFrame) -> DataFrame:
+    return frame.withColumnsRenamed({theirs: ours for ours, theirs in STUDY_COLUMNS.items()})
+
+
+#: Fixed value: the heading by which a run report is known.
+REPORT_TITLE = "第四章 Agent 系统运行报告"
+
+
+def _markdown_table(head: list[str], rows: list[list[Any]]) -> str:
+    return "\n".join("| " + " | ".join(map(str, r)) + " |" for r in [head, ["---"] * len(head), *rows])
 
 
 def run_report(summary: dict[str, Any]) -> str:
-    """The Markdown report of one run: steps, the first three days' picks, and returns by horizon."""
-    ranking, performance = summary.get("ranking_summary", {}), summary.get("performance_summary", {}).get("horizons", {})
-    parts = ["# 第四章 Agent 系统运行报告", "## 1. 系统概览"]
-    labels = {"ranking_preset": "排序模型 preset", "top_k": "top k", "news_path": "输入新闻", "universe_path": "股票池"}
-    parts.append("\n".join(f"- {label}：`{summary.get(k, '')}`" for k, label in labels.items()))
-    parts += ["## 2. Agent 执行结果", "\n".join(f"- `{s['agent_name']}`：{s['status']}，{s['message']}" for s in summary.get("steps", []))]
-    sizes = {"date_count": "可排序交易日数", "stock_count": "股票池覆盖数", "avg_cross_section_size": "平均横截面股票数"}
-    parts += ["## 3. 排序结果摘要", "\n".join(f"- {label}：`{ranking.get(k, 0)}`" for k, label in sizes.items())]
-    if days := ranking.get("topk_by_date", [])[:3]:
-        names = lambda d: "、".join(s.get("stock_name", s.get("ts_code", "")) for s in d.get("selected_stocks", []))
-        parts.append("前 3 个交易日 top k 股票如下：\n\n" + "\n".join(f"- `{d['publish_date']}`：{names(d)}" for d in days))
-    lines = [f"- `future {h}D`：top{summary.get('top_k') or ''}平均超额收益 `{percent(m.get('avg_excess_return'))}`，命中率 `{percent(m.get('hit_rate_vs_universe'))}`" for h in ("1", "3", "5") if (m := performance.get(h))]
-    parts += ["## 4. 排序表现摘要", "\n".join(lines), "## 5. 系统说明", "该工作流对应第四章中的多智能体处理链路：数据输入 agent -> 舆情分析 agent -> 因子构建 agent -> 排序选股 agent -> 评估报告 agent。"]
-    return "\n\n".join(p for p in parts if p) + "\n"
+    """One run as Markdown tables: what the selections earned, whom they picked first, how the steps went and what they were given."""
+    ranked, k = summary.get("ranking_summary", {}), summary.get("top_k") or ""
+    earned = summary.get("performance_summary", {}).get("horizons", {})
+    by_horizon = [[f"future {h}D", percent(earned[h].get("avg_excess_return")), percent(earned[h].get("hit_rate_vs_universe"))] for h in sorted(earned, key=int)]
+    first_days = [[d["publish_date"], "、".join(x.get("stock_name") or x.get("ts_code", "") for x in d.get("selected_stocks", []))] for d in ranked.get("topk_by_date", [])[:3]]
+    given = [[key, summary[key]] for key in ("ranking_preset", "top_k", "news_path", "universe_path") if summary.get(key) not in (None, "")]
+    sections = {
+        f"收益（top{k}）": _markdown_table(["期限", "相对全体的平均收益差", "跑赢全体的日期占比"], by_horizon) if by_horizon else "没有可评价的日期。",
+        "最初几日的入选": _markdown_table(["日期", f"top{k}"], first_days) if first_days else "没有入选。",
+        "规模": f"共 {ranked.get('date_count', 0)} 日、{ranked.get('stock_count', 0)} 只股票，平均每日 {ranked.get('avg_cross_section_size', 0)} 只。",
+        "步骤": _markdown_table(["步骤", "状态", "说明"], [[x["agent_name"], x["status"], x["message"]] for x in summary.get("steps", [])]),
+        "参数": _markdown_table(["名称", "值"], given),
+    }
+    return "\n\n".join([f"# {REPORT_TITLE}", *(f"## {n}. {name}\n\n{body}" for n, (name, body) in enumerate(sections.items(), 1))]) + "\n"
