@@ -234,6 +234,44 @@ def _time_series() -> str:
     """
 
 
+def _merged() -> str:
+    """One row for each article and stock: weighted means, and lists in the order of weight, event and summary."""
+    clamp = lambda x, low: f"greatest({low}::DOUBLE, least(1.0::DOUBLE, {x}))"
+    mean = lambda c: f"CASE WHEN sum(w) > 1e-6 THEN sum({_num(c)} * w) / sum(w) ELSE 0.0 END"
+    return f"""
+        {MENTIONS}, rows AS (SELECT *, concat(stock_name, event_type) AS summary, {WEIGHT} AS w, list_filter(list_transform(string_split(coalesce(keywords, ''), '|'), lambda k: {_strip('k')}), lambda k: k <> '') AS words FROM m WHERE ts_code IS NOT NULL),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY news_id, ts_code ORDER BY w DESC, coalesce(event_type, ''), coalesce(summary, ''), words, trend_signal NULLS FIRST, stock_name NULLS FIRST) AS place FROM rows),
+        sums AS (SELECT news_id, ts_code, max(stock_name) FILTER (WHERE place = 1) AS stock_name, {', '.join(f"{_r4(clamp(mean(c), low))} AS {c}" for c, low in (('sentiment', '-1.0'), ('sentiment_strength', '0.0'), ('confidence', '0.0'), ('relevance', '0.0')))},
+            {_r4(clamp('max(' + _num('event_importance') + ')', '0.0'))} AS event_importance, max((coalesce(risk_flag, 0) <> 0)::INT) AS risk_flag, CAST(count(*) AS INTEGER) AS merged_event_count,
+            count(DISTINCT trend_signal) FILTER (WHERE coalesce(trend_signal, '') NOT IN ('', '未知')) AS trends, max(trend_signal) FILTER (WHERE coalesce(trend_signal, '') NOT IN ('', '未知')) AS trend, max(trend_signal) FILTER (WHERE place = 1) AS first_trend
+            FROM placed GROUP BY news_id, ts_code),
+        by_event AS (SELECT news_id, ts_code, event_type, row_number() OVER (PARTITION BY news_id, ts_code ORDER BY {_r4('sum(w)')} DESC, {_event_weight('event_type')} DESC, event_type NULLS FIRST) AS e FROM placed GROUP BY news_id, ts_code, event_type),
+        events AS (SELECT news_id, ts_code, max(event_type) FILTER (WHERE e = 1) AS event_type, coalesce(string_agg(event_type, '|' ORDER BY e), '') AS merged_event_types FROM by_event GROUP BY news_id, ts_code),
+        each_word AS (SELECT news_id, ts_code, place, unnest(words) AS word, generate_subscripts(words, 1) AS nth FROM placed),
+        first_words AS (SELECT news_id, ts_code, word, row_number() OVER (PARTITION BY news_id, ts_code ORDER BY min(place * 100000 + nth)) AS k FROM each_word GROUP BY news_id, ts_code, word),
+        listed_words AS (SELECT news_id, ts_code, string_agg(word, '|' ORDER BY k) AS keywords FROM first_words WHERE k <= 6 GROUP BY news_id, ts_code),
+        merged AS (SELECT s.* EXCLUDE (trends, trend, first_trend), e.event_type, e.merged_event_types, CASE WHEN trends = 1 THEN trend WHEN trends > 1 THEN '震荡' ELSE first_trend END AS trend_signal, coalesce(l.keywords, '') AS keywords
+            FROM sums s JOIN events e ON e.news_id IS NOT DISTINCT FROM s.news_id AND e.ts_code = s.ts_code LEFT JOIN listed_words l ON l.news_id IS NOT DISTINCT FROM s.news_id AND l.ts_code = s.ts_code)
+    """
+
+
+def _diverse() -> str:
+    """Greedy picks by recursion over each group's rows in order: first those with a new event, then the rest."""
+    score = " + ".join(f"{_num(c)} * {w}::DOUBLE" for c, w in [("relevance", 0.35), ("confidence", 0.20), ("event_importance", 0.20), ("sentiment_strength", 0.15), ("coarse_score", 0.05)])
+    return f"""
+        WITH RECURSIVE {MENTIONS}, rows AS (SELECT publish_date, ts_code, news_id, {_r4(score + " + coalesce(merged_event_count, 1.0) * 0.05::DOUBLE")} AS diversity_score, {_num('relevance')} AS rel, {_num('confidence')} AS conf,
+            list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(merged_event_types, ''), '|'), lambda k: {_strip('k')}), lambda k: k <> ''))) AS listed, {_text('event_type')} AS single
+            FROM m WHERE publish_date IS NOT NULL AND ts_code IS NOT NULL),
+        sorted AS (SELECT publish_date, ts_code, news_id, diversity_score, CASE WHEN len(listed) > 0 THEN listed WHEN single <> '' THEN [single] ELSE ['其他'] END AS events,
+            row_number() OVER (PARTITION BY publish_date, ts_code ORDER BY diversity_score DESC, rel DESC, conf DESC, coalesce(news_id, '')) AS n FROM rows),
+        walk AS (SELECT publish_date, ts_code, n, events AS seen, 1 AS taken, true AS fresh FROM sorted WHERE n = 1
+            UNION ALL SELECT s.publish_date, s.ts_code, s.n, CASE WHEN w.taken < 3 AND NOT list_has_all(w.seen, s.events) THEN list_distinct(list_concat(w.seen, s.events)) ELSE w.seen END,
+                w.taken + (w.taken < 3 AND NOT list_has_all(w.seen, s.events))::INT, w.taken < 3 AND NOT list_has_all(w.seen, s.events)
+            FROM walk w JOIN sorted s ON s.publish_date = w.publish_date AND s.ts_code = w.ts_code AND s.n = w.n + 1),
+        ordered AS (SELECT s.*, row_number() OVER (PARTITION BY s.publish_date, s.ts_code ORDER BY w.fresh DESC, s.n) AS pick FROM sorted s JOIN walk w USING (publish_date, ts_code, n))
+    """
+
+
 def _study() -> str:
     """Records with their best match (no stock reaches its quota here), without words of single stocks: none of the listed stocks is in the universe."""
     score = f"CASE WHEN full_name THEN 4.0::DOUBLE WHEN aliases <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + {_weigh('fin', 'low', 1.8, 0.7)} - {_weigh('neg', 'low', 1.6, 0.7)} - CASE WHEN {_squeeze('title')} = '' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END"
@@ -289,6 +327,9 @@ def oracle_sql() -> dict[str, str]:
         "ref_d3_first_id": "SELECT record_no FROM news_articles QUALIFY coalesce(id, '') = '' OR row_number() OVER (PARTITION BY id ORDER BY record_no) = 1",
         "ref_d6_repaired_union": f"WITH a AS (SELECT coalesce(ts_code, '') AS ts_code, {_num('confidence')} AS confidence, {_num('coarse_score')} AS coarse_score FROM article_mentions UNION ALL SELECT coalesce(ts_code, ''), 0.0, {_num('close')} FROM market_prices) SELECT ts_code, count(*) AS n, round(sum(confidence), 4) AS confidence, round(sum(coarse_score), 4) AS coarse_score FROM a GROUP BY 1",
         "ref_u1_rule_mentions": _rule_mentions(),
+        "ref_a1_merged_mentions": f"WITH {_merged()} SELECT * FROM merged",
+        "ref_u2_structured_news": f"WITH ment AS ({_rule_mentions()}), {COARSE} SELECT m.* EXCLUDE (record_no), m.stock_name || '相关' || m.event_type || '信息' AS event_summary, m.event_type AS merged_event_types, CAST(1 AS INTEGER) AS merged_event_count, c.coarse_score, c.matched_aliases, a.id AS news_id, a.publish_date, a.publish_time, a.title FROM ment m JOIN coarse c ON c.record_no = m.record_no AND c.ts_code = m.ts_code AND c.candidate_rank <= 8 JOIN news_articles a ON a.record_no = m.record_no",
+        "ref_t9_diverse_topk": _diverse() + " SELECT publish_date, ts_code, news_id, CAST(pick AS INTEGER) AS pick, diversity_score FROM ordered WHERE pick <= 3",
         "ref_p15_mention_weight": f"WITH {MENTIONS} SELECT news_id, ts_code, {_r8(WEIGHT)} AS weight FROM m",
         "ref_a2_base_factors": f"WITH {BASE} SELECT * FROM base",
         "ref_a4_dominant_event": f"WITH {USABLE}, {DOMINANT} SELECT * FROM dominant",
