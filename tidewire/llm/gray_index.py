@@ -35,13 +35,16 @@ class GrayForest:
     A node covers up to FAN neighbours of one key. ``same`` marks the bits on which all codes below agree, ``bits`` their values. The
     search goes down with pairs of nodes: their differences on the bits that both have settled are a lower bound for every pair of codes below, and
     grow as more bits settle; beyond the limit both groups part, with everything below. Codes are compared one by one in pairs of lowest nodes only.
+    Rows of one ``label`` (0 is none) are known to belong together: their pairs aren't asked for, and nodes that hold one label only aren't opened for each other.
     """
 
-    def __init__(self, key: np.ndarray, high: np.ndarray, low: np.ndarray | None = None):
+    def __init__(self, key: np.ndarray, high: np.ndarray, low: np.ndarray | None = None, label: np.ndarray | None = None):
         self.key = key
+        self.label = np.zeros(len(key), np.int64) if label is None else label
+        self.labels: list[np.ndarray] = []  # of each node: the label all rows below have, or 0
         self.codes = high[:, None] if low is None else np.stack([high, low], axis=1)
         every = np.uint64(0xFFFFFFFFFFFFFFFF)
-        same, bits, keys = np.full(self.codes.shape, every), self.codes, key
+        same, bits, keys, label = np.full(self.codes.shape, every), self.codes, key, self.label
         self.levels: list[tuple] = []  # from the lowest nodes up: mask of settled bits, their values, first child, one past the last
         while len(keys):
             m = len(keys)
@@ -54,6 +57,9 @@ class GrayForest:
             zeros = np.bitwise_and.reduceat(same & ~bits, begin, axis=0)
             same, bits = ones | zeros, ones
             self.levels.append((same, bits, begin, np.r_[begin[1:], m]))
+            low_label = np.minimum.reduceat(label, begin)
+            label = np.where(low_label == np.maximum.reduceat(label, begin), low_label, 0)
+            self.labels.append(label)
             keys = keys[begin]
 
     def self_pairs(self, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,8 +75,8 @@ class GrayForest:
             return
         top = len(self.levels) - 1
         size = self.levels[top][3] - self.levels[top][2]
-        roots = np.arange(len(size))
-        roots = roots[size > 1] if top == 0 else roots
+        roots = np.flatnonzero(self.labels[top] == 0)
+        roots = roots[size[roots] > 1] if top == 0 else roots
         todo = [(top, roots[at : at + FRONTIER], roots[at : at + FRONTIER]) for at in range(0, len(roots), FRONTIER)]
         while todo:
             level, a, b = todo.pop()
@@ -89,7 +95,8 @@ class GrayForest:
                 nth = np.arange(total) - np.repeat(np.r_[0, c.cumsum()[:-1]], c)
                 h = np.repeat(high[part], c)
                 x, y = np.repeat(begin[a[part]], c) + nth // h, np.repeat(begin[b[part]], c) + nth % h
-                keep = x <= y
+                mine = self.labels[level - 1]
+                keep = (x <= y) & ((mine[x] == 0) | (mine[x] != mine[y]))
                 x, y = x[keep], y[keep]
                 near = self._differences(x, y, level - 1) <= limit
                 todo.append((level - 1, x[near], y[near]))
@@ -111,4 +118,5 @@ class GrayForest:
         hit, i, j = np.nonzero(differ <= limit)
         x, y = p[hit, i], q[hit, j]
         keep = (x < y) & (x < end[a[hit]]) & (y < end[b[hit]])
+        keep[keep] = (self.label[x[keep]] == 0) | (self.label[x[keep]] != self.label[y[keep]])
         return x[keep], y[keep], differ[hit[keep], i[keep], j[keep]].astype(np.int64)

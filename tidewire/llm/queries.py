@@ -58,8 +58,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
-    links, members = near_text.similar_pairs(read_table(spark, folder, "news_articles", spread=True), "record_no", ["title", "body"])
-    return near_text.components(cut(links), members).select(F.col("_key").alias("record_no"), "group_id")
+    groups = near_text.similar_groups(read_table(spark, folder, "news_articles", spread=True), "record_no", ["title", "body"])
+    return groups.select(F.col("_key").alias("record_no"), "group_id")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
