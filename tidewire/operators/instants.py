@@ -11,6 +11,7 @@ from zoneinfo import ZoneInfo
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from tidewire.runtime import fresh_path
 
@@ -229,6 +230,7 @@ def normalise_instants(records: DataFrame, sources: DataFrame, when: str = "publ
     )
     has_case = (F.col("when_text") != "") | (F.col("day_text") != "")
     # rows without a case have no key in common: a key of their own spreads them over the join's tasks
-    keyed = keyed.withColumn("_spread", F.when(has_case, 0).otherwise(F.pmod(F.xxhash64(*[c for c in records.columns if c != "utc_second"]), F.lit(65_536)).cast("int")))
+    plain = [f.name for f in records.schema.fields if isinstance(f.dataType, AtomicType) and f.name != "utc_second"]
+    keyed = keyed.withColumn("_spread", F.when(has_case, 0).otherwise(F.pmod(F.xxhash64(*plain), F.lit(65_536)).cast("int")))
     dictionary = extend_dictionary(spark, keyed.where(has_case).select(*KEY).distinct(), dictionary_path or fresh_path(spark, "instants"))
     return keyed.join(dictionary.withColumn("_spread", F.lit(0)), on=[*KEY, "_spread"], how="left").select(*[c for c in records.columns if c != "utc_second"], "utc_second")
