@@ -288,6 +288,43 @@ def test_large_group_with_a_standing_phrase_keeps_its_links(spark, group_rows):
         assert {x._key: x.group_id for x in near_text.similar_groups(frame, "record_no", ["body"], group_rows=group_rows, stars=stars).collect()} == groups
 
 
+@pytest.mark.parametrize("group_rows", [near_text.GROUP_ROWS, 40])
+def test_texts_that_share_standing_phrases_only_are_found(spark, group_rows):
+    """Six phrases that sixty unlike texts each end with; of four other texts they make up two thirds, in another order each, so that these share nothing else."""
+    r = random.Random(9)
+    phrases = ["".join(_letters(r, 60)) for _ in range(6)]
+    texts = ["".join(_letters(r, 240)) + p for p in phrases for _ in range(60)]
+    for order in ((0, 1, 2, 3, 4, 5), (5, 3, 1, 4, 2, 0), (2, 5, 0, 3, 1, 4), (4, 0, 5, 2, 1, 3)):
+        texts.append("".join("".join(_letters(r, 25)) + phrases[i] for i in order))
+    frame = spark.createDataFrame(list(enumerate(texts)), "record_no long, body string")
+    links, members = near_text.similar_pairs(frame, "record_no", ["body"], group_rows=group_rows)
+    got = sorted((x.record_a, x.record_b) for x in near_text.all_pairs(links, members).collect())
+    assert got == sorted(_brute(texts)) and len(got) == 6
+    groups = {x._key: x.group_id for x in near_text.similar_groups(frame, "record_no", ["body"], group_rows=group_rows, stars=5).collect()}
+    assert all(groups[i] == min(i, 360) for i in range(364))
+
+
+def test_similar_by_windows_finds_all_pairs(spark, monkeypatch):
+    r = random.Random(10)
+    texts = ["", "短", "短讯速", "短讯速" * 9, "𠀀𠀁𠀂𠀃𠀄𠀅", "𠀀𠀁𠀂𠀃𠀄𠀅" * 8]
+    for step in (9, 10, 12, 15, 30) * 6:
+        t = _letters(r, r.randrange(8, 160))
+        half = len(t) // 2
+        texts += ["".join(t), "".join(_changed(r, t, step)), "".join(t[half:] + t[:half] + _letters(r, r.randrange(half + 1))), "".join((t[:12] * 4)[: r.randrange(8, 48)])]
+    texts = list(dict.fromkeys(texts))
+    r.shuffle(texts)
+    truth = {(i, j) for i, j in _brute(texts)} | {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near_text.shared_share(texts[j], texts[i]) >= near_text.SIMILAR}
+    for chunk in (near_text.CHUNK, 40):  # few pairs at once, so that one text's come in turns
+        monkeypatch.setattr(near_text, "CHUNK", chunk)
+        for others in (0, 50):
+            found = {tuple(sorted(x)) for x in near_text.similar_by_windows(texts, others)}
+            assert found == {(i, j) for i, j in truth if not others or i < others <= j}
+    monkeypatch.undo()
+    clean = spark.createDataFrame(list(enumerate(texts)), "_key long, clean string")
+    got = [tuple(x) for x in near_text.window_pairs(clean, lot=2000).collect()]  # several lots
+    assert set(got) == truth and len(got) == len(truth) > 70
+
+
 def test_gray_forest_leaves_pairs_of_one_label_out():
     r = np.random.default_rng(5)
     key, code, label = r.integers(0, 3, 300).astype(np.uint64), r.integers(0, 200, 300).astype(np.uint64), r.integers(0, 4, 300)
